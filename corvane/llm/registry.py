@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from corvane.llm.media import op2_media
+from corvane.llm.quality import op10_quality
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media}
+    return {"op2_media": op2_media, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict:
