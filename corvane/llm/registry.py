@@ -6,8 +6,11 @@ from corvane.llm.media import op2_media
 from corvane.llm.quality import op10_quality
 
 
+from corvane.llm.simhash import op4_simhash
+
+
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash}
 
 
 def oracle_sql() -> dict:
