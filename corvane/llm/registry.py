@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.llm.media import op2_media
+from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
 
 
@@ -10,7 +11,7 @@ from corvane.llm.simhash import op4_simhash
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
