@@ -113,14 +113,16 @@ class Model:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        for text, quality in zip(batch.column("text").to_pylist(), batch.column("quality").to_pylist()):
+        rows = {"quality": batch.column("quality"), "at": [], "value": []}
+        for text in batch.column("text").to_pylist():
             x = np.zeros(BUCKETS)
             for bucket, _ in Texts([text]).grams():
                 x += np.bincount(bucket, minlength=BUCKETS) / max(1, len(bucket))
             at = np.flatnonzero(x)
-            row = {"quality": [quality], "at": [at.astype(np.int32)], "value": [x[at].astype(np.float32)]}
-            kinds = [("quality", pa.int32()), ("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_pydict(row, pa.schema(kinds))
+            rows["at"].append(at.astype(np.int16))
+            rows["value"].append(x[at].astype(np.float32))
+        kinds = [("quality", pa.int32()), ("at", pa.list_(pa.int16())), ("value", pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_pydict(rows, pa.schema(kinds))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = 100) -> Model:
@@ -131,27 +133,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, step
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
-    got = rows.mapInArrow(_features, "quality int, at array<int>, value array<float>").toArrow()
+    got = rows.mapInArrow(_features, "quality int, at array<smallint>, value array<float>").toArrow()
     y = got["quality"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 30.0)
-    lists = got["at"].combine_chunks()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    at, value = lists.flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy().astype(float)
-    scale = np.sqrt(np.bincount(at, value**2, BUCKETS) / len(y)) + 1e-3  # rare features count less than frequent ones
-    value = value / scale[at]
+    parts, first = [], 0  # (rows, bucket, value) of each batch that came: wide copies are only made of one at a time
+    for at, value in zip(got["at"].chunks, got["value"].chunks):
+        row = np.repeat(np.arange(first, first + len(at), dtype=np.int32), np.diff(at.offsets.to_numpy()))
+        parts.append((row, at.flatten().to_numpy(), value.flatten().to_numpy()))
+        first += len(at)
+    del got
+    scale = np.sqrt(sum(np.bincount(at, value**2, BUCKETS) for _, at, value in parts) / len(y)) + 1e-3
+    # Rare features count less than frequent ones.
+    parts = [(row, at, value / scale[at].astype(np.float32)) for row, at, value in parts]
+
+    def dot(w: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(row, w[at] * value, len(y)) for row, at, value in parts)
+
     # A quarter is held out for calibration; dealt by content, not by the order of arrival.
-    deal = np.bincount(row, value, len(y)).argsort(kind="stable").argsort() % 4 == 0
+    deal = dot(np.ones(BUCKETS)).argsort(kind="stable").argsort() % 4 == 0
     train, weight = ~deal, np.where(y > 0, 0.5 / max(1, y[~deal].sum()), 0.5 / max(1, (1 - y[~deal]).sum()))
     w, b, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * value, len(y)) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(dot(w) + b, -30, 30)))
         error = np.where(train, (p - y) * weight, 0)
-        grad = np.append(np.bincount(at, error[row] * value, BUCKETS) + 1e-4 * w, error.sum())
+        slope = sum(np.bincount(at, error[row] * value, BUCKETS) for row, at, value in parts)
+        grad = np.append(slope + 1e-4 * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    score = np.bincount(row, w[at] * value, len(y))[deal]
+    score = dot(w)[deal]
     # Platt's targets keep the two parameters finite where the classes are separable.
     good = y[deal]
     target = np.where(good > 0, (good.sum() + 1) / (good.sum() + 2), 1 / ((1 - good).sum() + 2))
