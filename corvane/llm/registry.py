@@ -8,10 +8,11 @@ from corvane.llm.quality import op10_quality
 
 
 from corvane.llm.simhash import op4_simhash
+from corvane.llm.substrings import op8_substrings
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash, "op9_packing": op9_packing}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
