@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corvane.llm.media import op2_media
+from corvane.llm.bpe import op3_bpe
 from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
 
@@ -12,7 +13,7 @@ from corvane.llm.substrings import op8_substrings
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op4_simhash": op4_simhash, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
