@@ -10,11 +10,12 @@ from corvane.llm.quality import op10_quality
 
 from corvane.llm.simhash import op4_simhash
 from corvane.llm.substrings import op8_substrings
+from corvane.llm.urls import OP6_SQL, op6_urls
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_urls": op6_urls, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_urls": OP6_SQL}
