@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvane.llm.html import op5_html
 from corvane.llm.lines import op7_lines
 from corvane.llm.media import op2_media
 from corvane.llm.bpe import op3_bpe
@@ -15,7 +16,7 @@ from corvane.llm.urls import OP6_SQL, op6_urls
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_urls": op6_urls, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
+    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_html": op5_html, "op6_urls": op6_urls, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:

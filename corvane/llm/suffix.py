@@ -8,14 +8,15 @@ import numpy as np
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """By prefix doubling, starting from packed symbols; only suffixes that are still tied are sorted again.
 
-    Symbols are under 512 and the last one is a 0 that stands nowhere else."""
-    n = len(symbols)
-    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
+    The last symbol is a 0 that stands nowhere else."""
+    n, width = len(symbols), max(1, int(symbols.max()).bit_length())
+    reach = max(1, 63 // width)  # symbols that fit in one key
+    wide = np.concatenate([symbols.astype(np.uint64), np.zeros(reach, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | wide[k : k + n]
+    for k in range(reach):
+        key = (key << np.uint64(width)) | wide[k : k + n]
     order = np.argsort(key, kind="stable")
-    ranks, reach = np.zeros(n, np.int64), 7
+    ranks = np.zeros(n, np.int64)
 
     def ranked(order: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Marks where a new group begins; a suffix's rank is the place of its group's begin."""
@@ -48,7 +49,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, least: int, lowest: i
     prefixes come by increasing value, and the search stops at `least`. Symbols under `lowest` (separators) end a
     string: they are never extended by."""
     n = len(symbols)
-    before = symbols[order - 1].astype(np.uint16)
+    before = symbols[order - 1]
     step = np.empty(n, np.int64)
     step[np.argsort(before, kind="stable")] = np.arange(n)
     bounded = np.zeros(n + 1, bool)
