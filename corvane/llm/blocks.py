@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import total_bytes
@@ -22,12 +22,12 @@ from corvane.llm.common import total_bytes
 BLOCK_BYTES = 12 << 20
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, by: Column | None = None) -> tuple[DataFrame, int]:
     """(block, doc_id, text, rest struct) and the number of blocks, by the bytes of text; buckets are as many."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     n = max(8, math.ceil(total_bytes(docs) / block_bytes))
     packed = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text") if by is None else by, F.lit(n)).cast("int")
     return docs.select(block.alias("block"), "doc_id", "text", packed.alias("rest")).repartition(n, "block"), n
 
 

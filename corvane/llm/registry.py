@@ -10,13 +10,14 @@ from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
 
 
+from corvane.llm.scoring import op1_scoring
 from corvane.llm.simhash import op4_simhash
 from corvane.llm.substrings import op8_substrings
 from corvane.llm.urls import OP6_SQL, op6_urls
 
 
 def queries() -> dict:
-    return {"op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_html": op5_html, "op6_urls": op6_urls, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
+    return {"op1_scoring": op1_scoring, "op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_html": op5_html, "op6_urls": op6_urls, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict:
