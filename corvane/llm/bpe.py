@@ -14,12 +14,13 @@ carried in `rest`.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ from corvane.llm.blocks import answer, ask, blocked, pack, settle, unpack
 from corvane.llm.common import id_text, read, slices
 from corvane.llm.tokens import distinct_words, encode_words, gather, odd, tokenizer
 
+WORD_BLOCK_BYTES = 20 << 20  # larger blocks repeat fewer words
+
 
 @lru_cache(2)
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -56,104 +59,96 @@ def decode_ids(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _parts(rows: pa.Table) -> Iterator[tuple[list[str], list[bool], list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a block: texts, which are plain, distinct words, their place at each position, bounds, bucket hashes."""
+def _parts(rows: pa.Table) -> Iterator[tuple[list[str], list[bool], list[str], np.ndarray, np.ndarray]]:
+    """Slices of a block: texts, which are plain, distinct words, their place at each position, bounds."""
     for batch in slices(rows.select(["text"]).to_batches()):
         texts = batch.column("text").to_pylist()
         plain = [not odd(t) for t in texts]
         yield texts, plain, *distinct_words([t if p else "" for t, p in zip(texts, plain)], spaced=True)
 
 
-def _vocabulary(rows: pa.Table, n: int) -> tuple[dict[str, int], list[list[str]]]:
-    """The block's distinct words, and these by bucket in an order that both branches repeat."""
-    seen: dict[str, int] = {}
-    for *_, words, _, _ in _parts(rows):
-        for w in words:
-            seen.setdefault(w, len(seen))
-    by_bucket: list[list[str]] = [[] for _ in range(n)]
-    for w in seen:
+def _by_bucket(words: set[str], n: int) -> list[list[bytes]]:
+    """The block's distinct words by bucket, in an order that both branches repeat."""
+    out: list[list[bytes]] = [[] for _ in range(n)]
+    for w in words:
         raw = w.encode()
-        by_bucket[int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest(), "little") % n].append(w)
-    return seen, by_bucket
+        out[xxhash.xxh32_intdigest(raw) % n].append(raw)
+    for part in out:
+        part.sort()
+    return out
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text, ...) to (doc_id, ids binary: little-endian unsigned 32-bit, rest struct)."""
-    base, n = blocked(docs)
+    """(doc_id, text, ...) to (doc_id, ids array<int>, rest struct)."""
+    base, n = blocked(docs, WORD_BLOCK_BYTES)
 
     def question(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        for b, words in enumerate(_vocabulary(rows, n)[1]):
+        seen: set[str] = set()
+        for _, _, words, _, _ in _parts(rows):
+            seen.update(words)
+        for b, words in enumerate(_by_bucket(seen, n)):
             if words:
-                raw = [w.encode() for w in words]
-                yield b, pack(np.array([len(w) for w in raw], np.uint32), b"".join(raw))
+                yield b, pack(np.array([len(w) for w in words], np.uint32), b"".join(words))
 
     def reply(questions: list[bytes]) -> list[bytes]:
         asked, table = [], {}
         for q in questions:
             sizes, raw = unpack(q, np.uint32, bytes)
             ends = np.cumsum(sizes).tolist()
-            words = [raw[a:b] for a, b in zip([0, *ends], ends)]
-            asked.append([table.setdefault(w, len(table)) for w in words])
+            asked.append(np.array([table.setdefault(raw[a:b], len(table)) for a, b in zip([0, *ends], ends)], np.int64))
         ids = encode_words(path, [w.decode() for w in table])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         values = np.fromiter((i for one in ids for i in one), np.int64, int(sizes.sum()))
-        out = []
-        for places in asked:
-            places = np.array(places, np.int64)
-            out.append(pack(sizes[places].astype(np.uint16), gather(places, sizes, values)[0].astype(np.uint32)))
-        return out
+        return [pack(sizes[places].astype(np.uint32), gather(places, sizes, values)[0].astype(np.uint32)) for places in asked]
 
     def use(rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        seen, by_bucket = _vocabulary(rows, n)
-        sizes, chunks, order = [], [], []
+        parts = list(_parts(rows))
+        by_bucket = _by_bucket({w for _, _, words, _, _ in parts for w in words}, n)
+        sizes, chunks, place = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], {}
         for b, data in answers.items():
-            size, ids = unpack(data, np.uint16, np.uint32)
-            sizes.append(size), chunks.append(ids), order.extend(by_bucket[b])
-        place = {w: i for i, w in enumerate(order)}
-        size, ids = (np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.uint16, sizes), (np.uint32, chunks)))
-        size, out = size.astype(np.int64), []
-        for texts, plain, words, inverse, bounds in _parts(rows):
-            here = np.fromiter((place[w] for w in words), np.int64, len(words))
+            size, ids = unpack(data, np.uint32, np.uint32)
+            sizes.append(size), chunks.append(ids)
+            for w in by_bucket[b]:
+                place[w] = len(place)
+        size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(chunks)
+        out = []
+        for texts, plain, words, inverse, bounds in parts:
+            here = np.fromiter((place[w.encode()] for w in words), np.int64, len(words))
             values, at = gather(here[inverse], size, ids)
             cuts = at[bounds]
             for text, p, back, a, b in zip(texts, plain, decode_ids(path, values, cuts), cuts[:-1], cuts[1:]):
                 good = p and back == text.encode()
-                out.append((values[a:b] if good else np.array(encode_words(path, [text])[0], np.uint32)).astype("<u4").tobytes())
-        return pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.binary()), "rest": rows["rest"]})
+                out.append(values[a:b].astype(np.int32) if good else np.array(encode_words(path, [text])[0], np.int32))
+        return pa.table({"doc_id": rows["doc_id"], "ids": pa.array(out, pa.list_(pa.int32())), "rest": rows["rest"]})
 
-    schema = T.StructType.fromDDL("doc_id long, ids binary").add("rest", base.schema["rest"].dataType)
+    schema = T.StructType.fromDDL("doc_id long, ids array<int>").add("rest", base.schema["rest"].dataType)
     return settle(base, answer(ask(base, question), reply), use, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids binary, ...) with the decoded text added, malformed bytes replaced as the library does."""
+    """(doc_id, ids array<int>, ...) with the decoded text added, malformed bytes replaced as the library does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
-            data = batch.column("ids").to_pylist()
-            bounds = np.cumsum([0] + [len(d or b"") // 4 for d in data])
-            raw = decode_ids(path, np.frombuffer(b"".join(d or b"" for d in data), "<u4"), bounds)
-            text = [None if d is None else r.decode("utf-8", "replace") for d, r in zip(data, raw)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lists = part.column("ids")
+                sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+                raw = decode_ids(path, lists.flatten().to_numpy(), np.cumsum(np.append(0, sizes)))
+                text = [r.decode("utf-8", "replace") if ok else None for r, ok in zip(raw, lists.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType(list(encoded.schema.fields)).add("decoded", "string"))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of ids written as decimals, each number written once a slice."""
-    for batch in slices(batches, "ids"):
-        n, sha = [], []
-        for data in batch.column("ids").to_pylist():
-            ids = np.frombuffer(data, "<u4").tolist()
-            n.append(len(ids))
-            sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), batch.column("decoded_sha256")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = decode(encode(id_text(read(spark, sf_dir, "documents")), path), path)
-    digest = out.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return digest.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = decode(encode(id_text(read(spark, sf_dir, "documents")), path).select("doc_id", "ids"), path)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
