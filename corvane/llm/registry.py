@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from corvane.llm.bpe import op3_bpe
 from corvane.llm.html import op5_html
 from corvane.llm.lines import op7_lines
 from corvane.llm.media import op2_media
-from corvane.llm.bpe import op3_bpe
 from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
-
-
 from corvane.llm.scoring import op1_scoring
 from corvane.llm.simhash import op4_simhash
 from corvane.llm.substrings import op8_substrings
@@ -17,7 +16,8 @@ from corvane.llm.urls import OP6_SQL, op6_urls
 
 
 def queries() -> dict:
-    return {"op1_scoring": op1_scoring, "op2_media": op2_media, "op10_quality": op10_quality, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_html": op5_html, "op6_urls": op6_urls, "op7_lines": op7_lines, "op8_substrings": op8_substrings, "op9_packing": op9_packing}
+    found = op1_scoring, op2_media, op3_bpe, op4_simhash, op5_html, op6_urls, op7_lines, op8_substrings, op9_packing, op10_quality
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import Scratch, id_text, read, slices
 from corvane.llm.components import connected_components
@@ -43,22 +44,24 @@ def text_hashes(text: str, shingle: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp long)."""
+    """Replaces the text by its fingerprint, fp long; other columns stay."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):
             hashes = [text_hashes(t or "", shingle) for t in batch.column("text").to_pylist()]
             n = np.fromiter(map(len, hashes), np.int64, len(hashes))
-            bits = np.unpackbits(np.fromiter((h for one in hashes for h in one), np.uint64, n.sum()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            over = np.zeros((len(n), 64), np.uint8)
-            has = np.flatnonzero(n)
+            each = np.fromiter((h for one in hashes for h in one), np.uint64, n.sum())
+            bits = np.unpackbits(each.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            over, has = np.zeros((len(n), 64), np.uint8), np.flatnonzero(n)
             if len(has):
                 starts = np.cumsum(n[has]) - n[has]
                 over[has] = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > n[has][:, None]
             fp = np.packbits(over, axis=1, bitorder="little").view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp)], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"]).add("fp", "long")
+    return docs.mapInArrow(run, schema)
 
 
 def block_masks(bits: int) -> list[int]:
@@ -91,18 +94,33 @@ def links(fps: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     return pairs.union(hubs)
 
 
+def _rooted(each: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
+    """(fp, root) of every distinct fingerprint."""
+    fps = scratch.table(each.select("fp").distinct())
+    roots = connected_components(links(fps, bits, scratch), scratch)
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, fp long, component_id): the least id reachable through linked fingerprints."""
     scratch = scratch or Scratch(docs.sparkSession)
-    each = scratch.table(fingerprints(docs, shingle))
-    fps = scratch.table(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(fps.select("fp"), bits, scratch), scratch)
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    each = scratch.table(fingerprints(docs.select("doc_id", "text"), shingle))
+    rooted = each.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_rooted(each, bits, scratch), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 2, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs that stand first, by id (null last) and text hash, in their component; of repeated rows one."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    order = {"_did": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")}
+    each = scratch.table(fingerprints(docs.select("text", *(c.alias(n) for n, c in order.items())), shingle))
+    first = each.groupBy("fp").agg(F.min(F.struct("_did", "_hash")).alias("first")).join(_rooted(each, bits, scratch), "fp")
+    keepers = first.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return docs.withColumns(order).join(keepers, list(order), "left_semi").dropDuplicates(list(order)).drop(*order)
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(id_text(read(spark, sf_dir, "documents")), shingle=3)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -110,8 +110,24 @@ def _by_bucket(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, text, ...) to (doc_id, n_bytes long, kept binary, spans array<struct<start,length>>, rest struct)."""
+def whole_characters(text: bytes, starts: list[int], ends: list[int]) -> str:
+    """The text without the characters that lie in the spans with all their bytes."""
+    kept, at = [], 0
+    for a, b in zip(starts, ends):
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(text) and b > a and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if b > a:
+            kept.append(text[at:a])
+            at = b
+    return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> DataFrame:
+    """(doc_id, text, ...) to (doc_id, n_bytes long, kept binary, spans array<struct<start,length>>, rest struct).
+
+    with_text: also the column text, the input without characters that spans cover as a whole."""
     if least < GRAM:
         raise ValueError(f"strings of {GRAM} bytes at least")
     base, n = blocked(docs)
@@ -180,7 +196,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         row, start, length = (np.concatenate([np.zeros(0, np.uint32), *(p[k] for p in parts)]).astype(np.int64) for k in range(3))
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], (start + length)[order]
-        kept, spans = [], []
+        kept, spans, left = [], [], []
         begins = np.searchsorted(row, np.arange(len(rows) + 1))
         for i, text in enumerate(rows["text"].cast(pa.binary()).to_pylist()):
             mine = slice(begins[i], begins[i + 1])
@@ -190,14 +206,17 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
             spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(a, b)])
             cuts = [0, *(z for pair in zip(a.tolist(), b.tolist()) for z in pair), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
+            left.append(whole_characters(text, a.tolist(), b.tolist()) if with_text else None)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         sizes = pa.array([len(t) for t in rows["text"].cast(pa.binary()).to_pylist()], pa.int64())
-        return pa.table({"doc_id": rows["doc_id"], "n_bytes": sizes, "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind), "rest": rows["rest"]})
+        columns = {"doc_id": rows["doc_id"], "n_bytes": sizes, "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind), "rest": rows["rest"]}
+        return pa.table(columns | ({"text": pa.array(left, pa.string())} if with_text else {}))
 
     levels = answer(ask(base, which), counted)
     runs = settle(base, levels, send, "bucket int, block int, data binary")
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, spans array<struct<start: long, length: long>>")
-    return settle(base, answer(runs, judged), result, schema.add("rest", base.schema["rest"].dataType))
+    schema = schema.add("rest", base.schema["rest"].dataType)
+    return settle(base, answer(runs, judged), result, schema.add("text", "string") if with_text else schema)
 
 
 def _judge(questions: list[bytes], least: int) -> list[bytes]:
