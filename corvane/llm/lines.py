@@ -11,8 +11,8 @@ that one word; a line that equals another's variant lacks one word. Both are fou
 join back to it, one row a variant: a hash that very many lines share is neither gathered nor paired. What was found
 is verified on the words.
 
-Cases: a null text is empty; null ids stand last. Rows that share id and text are one document as to order, so neither
-takes lines from the other. An empty table gives an empty one; other columns are carried in `rest`.
+Cases: a null text is empty; null ids stand last. Rows that share an id are one document as to order, so no line takes
+its equal at the same place. An empty table gives an empty one; other columns are carried in `rest`.
 """
 
 from __future__ import annotations
@@ -30,8 +30,15 @@ CHUNK = 64
 LAST = (1 << 63) - 1
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def plain(line: Column) -> Column:
+    """The line's words, each parted from the next by one blank. The costly steps run only where they change a line."""
+    blank = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")), F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+    return F.trim(F.when(F.contains(blank, F.lit("  ")), F.regexp_replace(blank, " +", " ")).otherwise(blank))
+
+
+def word_count(plain_line: Column) -> Column:
+    """1 for an empty line too, which is as short as one of a word."""
+    return F.octet_length(plain_line) - F.octet_length(F.replace(plain_line, F.lit(" "), F.lit(""))) + 1
 
 
 def _chained(values: Column, value=lambda x: x) -> Column:
@@ -52,17 +59,20 @@ def _up_to(inner: str, outer: str, i: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(id columns, words) to (id columns, variant long, place int): place 0 is the line itself."""
-    ids = [c for c in lines.columns if c != "words"]
+    """(of, words) to (of, variant long, place int): the hash of the words without the one at each place."""
     placed = lambda shift: F.transform("words", lambda w, i: F.xxhash64(w, i - shift))
-    df = lines.select(*ids, F.size("words").alias("n"), _chunked(placed(0)).alias("own"), _chunked(placed(1)).alias("moved"))
+    df = lines.select("of", F.size("words").alias("n"), _chunked(placed(0)).alias("own"), _chunked(placed(1)).alias("moved"))
     last = lambda chunk: F.element_at(chunk, -1)
     df = df.select("*", _chained(F.col("own"), last).alias("own_to"), _chained(F.col("moved"), last).alias("moved_to"))
     # Without word i, the words before it keep their places and those after it move up by one.
     rest = F.element_at("moved_to", -1)
     without = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(_up_to("own", "own_to", i - 1).bitwiseXOR(rest).bitwiseXOR(_up_to("moved", "moved_to", i)).alias("variant"), i.cast("int").alias("place")))
-    itself = F.array(F.struct(F.element_at("own_to", -1).alias("variant"), F.lit(0).alias("place")))
-    return df.select(*ids, F.explode(F.concat(itself, without)).alias("v")).select(*ids, "v.variant", "v.place")
+    return df.select("of", F.explode(without).alias("v")).select("of", "v.variant", "v.place")
+
+
+def whole(words: Column) -> Column:
+    """The hash of all words, as variants() has it of a line that they are left of."""
+    return F.aggregate(F.transform(words, lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -75,15 +85,17 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Classes of equal lines: (h1, h2), where the first stands (did, no, thash), and hashes of their halves."""
-    line = docs.select("did", "thash", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    words = line.select("did", "thash", "no", words_of(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    n = F.size("w")
-    half = lambda h: [F.xxhash64(F.lit(0), h, F.slice("w", 1, h)), F.xxhash64(F.lit(1), h, F.slice("w", n - h + 1, h))]
-    big, small = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = F.array_distinct(F.array(*half(big), *half(small)))
-    rows = words.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), F.struct("did", "no", "thash").alias("first"), keys.alias("keys"))
-    return rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("keys").alias("keys")).select("h1", "h2", "first.*", "keys")
+    """Classes of equal lines: (h1, h2), where the first stands (did, no), and hashes of their halves."""
+    line = docs.select("did", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    line = line.select("did", "no", plain(F.col("line")).alias("line")).withColumn("n", word_count(F.col("line"))).where(F.col("n") >= MIN_WORDS)
+    place = F.col("did").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("no")  # fits a hash aggregate's buffer
+    big, small = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
+    half = lambda side, h: F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h if side else -h))
+    keys = {f"k{side}{i}": half(side, h) for side in (0, 1) for i, h in enumerate((big, small))}
+    rows = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.cast("decimal(38,0)").alias("place"), *(k.alias(c) for c, k in keys.items()))
+    found = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.min(c).alias(c) for c in keys))
+    did = F.floor(F.col("place") / F.lit(1 << 32)).cast("long")
+    return found.select("h1", "h2", did.alias("did"), (F.col("place") % F.lit(1 << 32)).cast("int").alias("no"), *keys)
 
 
 def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -91,50 +103,50 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     scratch = scratch or Scratch(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = (F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))).alias("rest")
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("thash"), "doc_id", "text", packed)
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "doc_id", "text", packed)
     classes = scratch.table(_classes(docs))
-    # The texts are dealt once; every use below has this same exchange, which Spark runs once.
-    base = docs.repartition(max(8, math.ceil(total_bytes(docs) / PART_BYTES)), "did", "thash")
-
-    def lines_at(at: DataFrame) -> DataFrame:
-        """(h1, h2, did, thash, no) to (h1, h2, did, no, words) of the lines there."""
-        wanted = at.groupBy("did", "thash").agg(F.collect_set(F.struct("h1", "h2", "no")).alias("at")).hint("shuffle_hash")
-        found = base.select("did", "thash", "text").join(wanted, ["did", "thash"]).dropDuplicates(["did", "thash"])
-        lines = found.select("did", F.split("text", "\n").alias("lines"), F.explode("at").alias("a"))
-        return lines.select("a.h1", "a.h2", "did", "a.no", words_of(F.get("lines", F.col("a.no"))).alias("words"))
-
-    place = ["h1", "h2", "did", "no", "thash"]
-    keyed = classes.select(*place, F.explode("keys").alias("key"))
+    n = max(8, math.ceil(total_bytes(docs) / PART_BYTES))
+    base = docs.repartition(n, "did")
+
+    keyed = classes.select("did", "no", F.explode(F.array_distinct(F.array("k00", "k01", "k10", "k11"))).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    candidates = keyed.join(shared, "key", "left_semi").select(*place).distinct()
-    near = variants(lines_at(candidates).select(F.struct("did", "no", "h1", "h2").alias("of"), "words")).repartition("variant")
-    replaced = near.where("place > 0").groupBy("variant", "place").agg(F.min("of").alias("by"), F.count("*").alias("n")).where("n > 1")
-    inserted = near.where("place = 0").select("variant", F.col("of").alias("whole"))
-    deleted = near.where("place > 0").groupBy("variant").agg(F.min("of").alias("by"))
-    found = (
-        near.where("place > 0").join(replaced, ["variant", "place"]).select("of", "by")
-        .union(near.where("place > 0").join(inserted, "variant").select("of", F.col("whole").alias("by")))
-        .union(inserted.join(deleted, "variant").select(F.col("whole").alias("of"), "by"))
-    )
-    # The earliest that any variant names; on equal places (rows of one id) the hashes decide nothing.
-    links = found.where("struct(by.did, by.no) < struct(of.did, of.no)").groupBy("of").agg(F.min("by").alias("by"))
-    links = scratch.table(links.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("of", "by") for c in ("did", "no", "h1", "h2"))))
-    return _verified(docs, base, classes, links, lines_at)
-
-
-def _verified(docs, base, classes, links, lines_at) -> DataFrame:
-    at = lambda s: links.select(F.col(f"{s}_h1").alias("h1"), F.col(f"{s}_h2").alias("h2"))
-    words = lines_at(at("of").union(at("by")).distinct().join(classes.drop("keys"), ["h1", "h2"]))
-    side = lambda s: words.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("words").alias(f"{s}_words"))
-    true = links.join(side("of"), ["of_h1", "of_h2"]).join(side("by"), ["by_h1", "by_h2"]).where(within_one_edit(F.col("of_words"), F.col("by_words")))
-    gone = true.select(F.col("of_h1").alias("h1"), F.col("of_h2").alias("h2"))
-    kept = classes.join(gone, ["h1", "h2"], "left_anti").groupBy("did", "thash").agg(F.collect_set("no").alias("kept")).hint("shuffle_hash")
-    lines = F.split("text", "\n")
-    short = lambda x: F.size(words_of(x)) < MIN_WORDS
-    stays = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), (short(x) | F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), i)).alias("ok"))), lambda s: s["ok"])
-    out = base.join(kept, ["did", "thash"], "left").withColumn("lines", lines).withColumn("stays", stays)
-    n, left = F.size("lines").cast("long"), F.size("stays").cast("long")
-    return out.select("doc_id", F.array_join(F.transform("stays", lambda s: s["x"]), "\n").alias("text"), n.alias("n_lines"), (n - left).alias("n_removed"), "rest")
+    wanted = keyed.join(shared, "key", "left_semi").groupBy("did").agg(F.collect_set("no").alias("wanted")).hint("shuffle_hash")
+    # The condition names the other columns too (it always holds): so the texts have one and the same exchange here and
+    # at the end, and Spark runs it once.
+    held = F.hash(base["doc_id"], base["rest"], wanted["did"]).bitwiseOR(F.lit(1)) != 0
+    found = base.join(wanted, (base["did"] == wanted["did"]) & held).select(base["did"], F.explode("wanted").alias("no"), F.split("text", "\n").alias("lines"))
+    line = found.select("did", "no", plain(F.get("lines", F.col("no"))).alias("line"))
+    of = F.struct("did", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")).alias("of")
+    # Among rows of one id only those with the class's line there count, once.
+    lines = line.where(word_count(F.col("line")) >= MIN_WORDS).select(of, "line").groupBy("of").agg(F.max("line").alias("line"))
+    lines = lines.join(classes.select(F.struct("did", "no", "h1", "h2").alias("of")), "of", "left_semi")
+    lines = lines.select("of", F.split("line", " ").alias("words")).repartition(n, "of")
+
+    near = variants(lines).repartition("variant")
+    many = near.groupBy("variant", "place").agg(F.min("of").alias("by"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "by")
+    replaced = near.join(many, ["variant", "place"]).select("of", "by")
+    alone = lines.select(whole(F.col("words")).alias("variant"), F.col("of").alias("whole"))
+    held = F.hash(near["place"], alone["whole"]).bitwiseOR(F.lit(1)) != 0  # as above
+    shorter = near.join(alone, (near["variant"] == alone["variant"]) & held).select("of", "whole")
+    both = F.array(F.struct("of", F.col("whole").alias("by")), F.struct(F.col("whole").alias("of"), F.col("of").alias("by")))
+    longer = shorter.select(F.explode(both).alias("link")).select("link.of", "link.by")
+    earlier = "by.did < of.did or (by.did = of.did and by.no < of.no)"
+    links = replaced.union(longer).where(earlier).groupBy("of").agg(F.min("by").alias("by"))
+
+    words = lambda c: lines.select(F.col("of").alias(c), F.col("words").alias(f"{c}_words"))
+    near_lines = links.join(words("of"), "of").join(words("by"), "by").where(within_one_edit(F.col("of_words"), F.col("by_words")))
+    gone = near_lines.select("of.h1", "of.h2")
+    kept = classes.select("did", "no", "h1", "h2").join(gone, ["h1", "h2"], "left_anti")
+    kept = kept.groupBy("did").agg(F.collect_set(F.xxhash64("no", "h1")).alias("kept")).hint("shuffle_hash")
+
+    def stays(line: Column, no: Column) -> Column:
+        bare = plain(line)
+        return (word_count(bare) < MIN_WORDS) | F.coalesce(F.array_contains("kept", F.xxhash64(no, F.xxhash64(bare))), F.lit(False))
+
+    out = base.join(kept, "did", "left").select("doc_id", "rest", "kept", F.split("text", "\n").alias("lines"))
+    out = out.select("doc_id", "rest", "lines", F.filter("lines", stays).alias("stay"))
+    n_lines, n_left = F.size("lines").cast("long"), F.size("stay").cast("long")
+    return out.select("doc_id", F.array_join("stay", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed"), "rest")
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
