@@ -61,7 +61,7 @@ def decode_ids(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 def _parts(rows: pa.Table) -> Iterator[tuple[list[str], list[bool], list[str], np.ndarray, np.ndarray]]:
     """Slices of a block: texts, which are plain, distinct words, their place at each position, bounds."""
-    for batch in slices(rows.select(["text"]).to_batches()):
+    for batch in slices(rows.select(["text"]).to_batches(), limit=1 << 20):
         texts = batch.column("text").to_pylist()
         plain = [not odd(t) for t in texts]
         yield texts, plain, *distinct_words([t if p else "" for t, p in zip(texts, plain)], spaced=True)
