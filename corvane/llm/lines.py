@@ -6,7 +6,7 @@ of 0.8. Lines are judged on the input, not on what is left. Shorter lines stay a
 
 Equal lines are one class from the first aggregate on; a class stands where its first line stands. Two lines within one
 edit share their first or last half, so only classes that share a half emit their neighbourhood: themselves, and
-themselves without each word, as 64-bit hashes with the place left out. Lines that agree in hash and place differ by
+themselves without each word of the other half, as 64-bit hashes with the place left out. Lines that agree in hash and place differ by
 that one word; a line that equals another's variant lacks one word. Both are found by a minimum for each hash and a
 join back to it, one row a variant: a hash that very many lines share is neither gathered nor paired. What was found
 is verified on the words.
@@ -28,6 +28,7 @@ MIN_WORDS = 5
 PART_BYTES = 16 << 20
 CHUNK = 64
 LAST = (1 << 63) - 1
+SHORT = "short"
 
 
 def plain(line: Column) -> Column:
@@ -59,14 +60,20 @@ def _up_to(inner: str, outer: str, i: Column) -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(of, words) to (of, variant long, place int): the hash of the words without the one at each place."""
+    """(of, sides, words) to (of, variant long, place int): the hash of the words without the one at each place.
+
+    sides: which halves are shared with another line, 0 the last and 1 the first; the edit lies in the other half, so
+    only its places are left out."""
     placed = lambda shift: F.transform("words", lambda w, i: F.xxhash64(w, i - shift))
-    df = lines.select("of", F.size("words").alias("n"), _chunked(placed(0)).alias("own"), _chunked(placed(1)).alias("moved"))
+    df = lines.select("of", "sides", F.size("words").alias("n"), _chunked(placed(0)).alias("own"), _chunked(placed(1)).alias("moved"))
     last = lambda chunk: F.element_at(chunk, -1)
     df = df.select("*", _chained(F.col("own"), last).alias("own_to"), _chained(F.col("moved"), last).alias("moved_to"))
+    least = F.floor((F.col("n") - 1) / 2).cast("int")
+    low = F.when(F.array_contains("sides", 0), F.lit(1)).otherwise(least + 1)
+    high = F.when(F.array_contains("sides", 1), F.col("n")).otherwise(F.col("n") - least)
     # Without word i, the words before it keep their places and those after it move up by one.
     rest = F.element_at("moved_to", -1)
-    without = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(_up_to("own", "own_to", i - 1).bitwiseXOR(rest).bitwiseXOR(_up_to("moved", "moved_to", i)).alias("variant"), i.cast("int").alias("place")))
+    without = F.transform(F.sequence(low, high), lambda i: F.struct(_up_to("own", "own_to", i - 1).bitwiseXOR(rest).bitwiseXOR(_up_to("moved", "moved_to", i)).alias("variant"), i.cast("int").alias("place")))
     return df.select("of", F.explode(without).alias("v")).select("of", "v.variant", "v.place")
 
 
@@ -108,45 +115,56 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     n = max(8, math.ceil(total_bytes(docs) / PART_BYTES))
     base = docs.repartition(n, "did")
 
-    keyed = classes.select("did", "no", F.explode(F.array_distinct(F.array("k00", "k01", "k10", "k11"))).alias("key"))
+    sided = F.array_distinct(F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"k{side}{i}").alias("key")) for side in (0, 1) for i in (0, 1))))
+    keyed = classes.select("did", "no", F.explode(sided).alias("k")).select("did", "no", "k.side", "k.key")
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    wanted = keyed.join(shared, "key", "left_semi").groupBy("did").agg(F.collect_set("no").alias("wanted")).hint("shuffle_hash")
+    wanted = keyed.join(shared, "key", "left_semi").groupBy("did", "no").agg(F.collect_set("side").alias("sides"))
+    wanted = wanted.groupBy("did").agg(F.collect_list(F.struct("no", "sides")).alias("wanted")).hint("shuffle_hash")
     # The condition names the other columns too (it always holds): so the texts have one and the same exchange here and
     # at the end, and Spark runs it once.
     held = F.hash(base["doc_id"], base["rest"], wanted["did"]).bitwiseOR(F.lit(1)) != 0
-    found = base.join(wanted, (base["did"] == wanted["did"]) & held).select(base["did"], F.explode("wanted").alias("no"), F.split("text", "\n").alias("lines"))
-    line = found.select("did", "no", plain(F.get("lines", F.col("no"))).alias("line"))
-    of = F.struct("did", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")).alias("of")
-    # Among rows of one id only those with the class's line there count, once.
-    lines = line.where(word_count(F.col("line")) >= MIN_WORDS).select(of, "line").groupBy("of").agg(F.max("line").alias("line"))
-    lines = lines.join(classes.select(F.struct("did", "no", "h1", "h2").alias("of")), "of", "left_semi")
-    lines = lines.select("of", F.split("line", " ").alias("words")).repartition(n, "of")
-
-    near = variants(lines).repartition("variant")
+    texts = base.join(wanted, (base["did"] == wanted["did"]) & held).select(base["did"], "wanted", F.split("text", "\n").alias("lines"))
+    # Two uses of lines, else the optimizer would split the text again for each line.
+    at = lambda w: F.when(w["no"] < F.size("lines"), F.get("lines", w["no"]))
+    found = texts.select("did", F.explode(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["sides"].alias("sides"), at(w).alias("line")))).alias("l"))
+    line = found.select("did", "l.no", "l.sides", plain(F.col("l.line")).alias("line")).where(word_count(F.col("line")) >= MIN_WORDS)
+    # Of rows that share an id, another may have a line there too: it is an earlier line for others all the same.
+    of = F.struct("did", "no", F.xxhash64("line").alias("h1")).alias("of")
+    lines = line.select(of, "sides", F.split("line", " ").alias("words")).repartition(n, "of")
+
+    near = variants(lines)
     many = near.groupBy("variant", "place").agg(F.min("of").alias("by"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "by")
     replaced = near.join(many, ["variant", "place"]).select("of", "by")
-    alone = lines.select(whole(F.col("words")).alias("variant"), F.col("of").alias("whole"))
-    held = F.hash(near["place"], alone["whole"]).bitwiseOR(F.lit(1)) != 0  # as above
-    shorter = near.join(alone, (near["variant"] == alone["variant"]) & held).select("of", "whole")
+    alone = lines.select(F.col("of").alias("whole"), whole(F.col("words")).alias("variant"))
+    shorter = near.select("variant", "of").join(alone, "variant").select("of", "whole")
     both = F.array(F.struct("of", F.col("whole").alias("by")), F.struct(F.col("whole").alias("of"), F.col("of").alias("by")))
     longer = shorter.select(F.explode(both).alias("link")).select("link.of", "link.by")
     earlier = "by.did < of.did or (by.did = of.did and by.no < of.no)"
     links = replaced.union(longer).where(earlier).groupBy("of").agg(F.min("by").alias("by"))
 
     words = lambda c: lines.select(F.col("of").alias(c), F.col("words").alias(f"{c}_words"))
-    near_lines = links.join(words("of"), "of").join(words("by"), "by").where(within_one_edit(F.col("of_words"), F.col("by_words")))
-    gone = near_lines.select("of.h1", "of.h2")
-    kept = classes.select("did", "no", "h1", "h2").join(gone, ["h1", "h2"], "left_anti")
-    kept = kept.groupBy("did").agg(F.collect_set(F.xxhash64("no", "h1")).alias("kept")).hint("shuffle_hash")
+    true = links.join(words("of"), "of").join(words("by"), "by").where(within_one_edit(F.col("of_words"), F.col("by_words")))
+    places = lambda df, c: df.groupBy("did").agg(F.collect_set(F.struct("no", "h1")).alias(c)).hint("shuffle_hash")
+    first, gone = places(classes.select("did", "no", "h1"), "first"), places(true.select("of.did", "of.no", "of.h1"), "gone")
+    out = base.join(first, "did", "left").join(gone, "did", "left")
 
-    def stays(line: Column, no: Column) -> Column:
-        bare = plain(line)
-        return (word_count(bare) < MIN_WORDS) | F.coalesce(F.array_contains("kept", F.xxhash64(no, F.xxhash64(bare))), F.lit(False))
+    # Marks sort by place and are compared as sets, so a document of very many lines costs no square of them.
+    def mark(no: Column, h1: Column) -> Column:
+        return F.concat(F.lpad(F.hex(no), 8, "0"), F.lpad(F.hex(h1), 16, "0"))
 
-    out = base.join(kept, "did", "left").select("doc_id", "rest", "kept", F.split("text", "\n").alias("lines"))
-    out = out.select("doc_id", "rest", "lines", F.filter("lines", stays).alias("stay"))
+    def mark_line(line: Column, no: Column) -> Column:
+        bare = plain(line)
+        return F.when(word_count(bare) < MIN_WORDS, F.concat(F.lpad(F.hex(no), 8, "0"), F.lit(SHORT))).otherwise(mark(no, F.xxhash64(bare)))
+
+    marks = lambda c: F.coalesce(F.transform(c, lambda p: mark(p["no"], p["h1"])), F.array().cast("array<string>"))
+    out = out.select("doc_id", "rest", marks("first").alias("first"), marks("gone").alias("gone"), F.split("text", "\n").alias("lines"))
+    out = out.select("doc_id", "rest", "first", "gone", "lines", F.transform("lines", mark_line).alias("marks"))
+    short = F.filter("marks", lambda m: m.endswith(SHORT))
+    stay = F.array_sort(F.concat(short, F.array_except(F.array_intersect("marks", "first"), "gone")))
+    out = out.select("doc_id", "rest", "lines", stay.alias("stay"))
+    kept = F.transform("stay", lambda m: F.get("lines", F.conv(F.substring(m, 1, 8), 16, 10).cast("int")))
     n_lines, n_left = F.size("lines").cast("long"), F.size("stay").cast("long")
-    return out.select("doc_id", F.array_join("stay", "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed"), "rest")
+    return out.select("doc_id", F.array_join(kept, "\n").alias("text"), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed"), "rest")
 
 
 def op7_lines(spark, sf_dir: str) -> DataFrame:
