@@ -29,7 +29,7 @@ from corvane.llm.blocks import answer, ask, blocked, pack, settle, unpack
 from corvane.llm.common import id_text, read, slices
 from corvane.llm.tokens import distinct_words, encode_words, gather, odd, tokenizer
 
-WORD_BLOCK_BYTES = 20 << 20  # larger blocks repeat fewer words
+WORD_BLOCK_BYTES = 16 << 20  # larger blocks repeat fewer words
 
 
 @lru_cache(2)
@@ -59,20 +59,29 @@ def decode_ids(path: str, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def _parts(rows: pa.Table) -> Iterator[tuple[list[str], list[bool], list[str], np.ndarray, np.ndarray]]:
-    """Slices of a block: texts, which are plain, distinct words, their place at each position, bounds."""
+Part = tuple[list[str], list[bool], np.ndarray, np.ndarray, np.ndarray]
+
+
+def _split(rows: pa.Table) -> tuple[dict[str, int], list[Part]]:
+    """A block's distinct words with their numbers, and its slices: texts, which are plain, numbers of the slice's
+    distinct words, place among these at each position, bounds."""
+    seen: dict[str, int] = {}
+    parts = []
     for batch in slices(rows.select(["text"]).to_batches(), limit=1 << 20):
         texts = batch.column("text").to_pylist()
         plain = [not odd(t) for t in texts]
-        yield texts, plain, *distinct_words([t if p else "" for t, p in zip(texts, plain)], spaced=True)
+        words, inverse, bounds = distinct_words([t if p else "" for t, p in zip(texts, plain)], spaced=True)
+        numbers = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+        parts.append((texts, plain, numbers, inverse, bounds))
+    return seen, parts
 
 
-def _by_bucket(words: set[str], n: int) -> list[list[bytes]]:
-    """The block's distinct words by bucket, in an order that both branches repeat."""
-    out: list[list[bytes]] = [[] for _ in range(n)]
-    for w in words:
+def _by_bucket(words: dict[str, int], n: int) -> list[list[tuple[bytes, int]]]:
+    """The block's distinct words, with their numbers, by bucket, in an order that both branches repeat."""
+    out: list[list[tuple[bytes, int]]] = [[] for _ in range(n)]
+    for w, number in words.items():
         raw = w.encode()
-        out[xxhash.xxh32_intdigest(raw) % n].append(raw)
+        out[xxhash.xxh32_intdigest(raw) % n].append((raw, number))
     for part in out:
         part.sort()
     return out
@@ -83,12 +92,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     base, n = blocked(docs, WORD_BLOCK_BYTES)
 
     def question(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        seen: set[str] = set()
-        for _, _, words, _, _ in _parts(rows):
-            seen.update(words)
-        for b, words in enumerate(_by_bucket(seen, n)):
+        for b, words in enumerate(_by_bucket(_split(rows)[0], n)):
             if words:
-                yield b, pack(np.array([len(w) for w in words], np.uint32), b"".join(words))
+                yield b, pack(np.array([len(w) for w, _ in words], np.uint32), b"".join(w for w, _ in words))
 
     def reply(questions: list[bytes]) -> list[bytes]:
         asked, table = [], {}
@@ -102,18 +108,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return [pack(sizes[places].astype(np.uint32), gather(places, sizes, values)[0].astype(np.uint32)) for places in asked]
 
     def use(rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        parts = list(_parts(rows))
-        by_bucket = _by_bucket({w for _, _, words, _, _ in parts for w in words}, n)
-        sizes, chunks, place = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], {}
+        seen, parts = _split(rows)
+        by_bucket = _by_bucket(seen, n)
+        place, at_word = np.zeros(len(seen), np.int64), 0
+        sizes, chunks = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for b, data in answers.items():
             size, ids = unpack(data, np.uint32, np.uint32)
             sizes.append(size), chunks.append(ids)
-            for w in by_bucket[b]:
-                place[w] = len(place)
+            place[[number for _, number in by_bucket[b]]] = np.arange(at_word, at_word + len(size))
+            at_word += len(size)
+        del seen, by_bucket
         size, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(chunks)
         out = []
-        for texts, plain, words, inverse, bounds in parts:
-            here = np.fromiter((place[w.encode()] for w in words), np.int64, len(words))
+        for texts, plain, numbers, inverse, bounds in parts:
+            here = place[numbers]
             values, at = gather(here[inverse], size, ids)
             cuts = at[bounds]
             for text, p, back, a, b in zip(texts, plain, decode_ids(path, values, cuts), cuts[:-1], cuts[1:]):
