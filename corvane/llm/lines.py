@@ -122,7 +122,7 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     wanted = wanted.groupBy("did").agg(F.collect_list(F.struct("no", "sides")).alias("wanted")).hint("shuffle_hash")
     # The condition names the other columns too (it always holds): so the texts have one and the same exchange here and
     # at the end, and Spark runs it once.
-    held = F.hash(base["doc_id"], base["rest"], wanted["did"]).bitwiseOR(F.lit(1)) != 0
+    held = F.hash(base["doc_id"], base["rest"], F.size(wanted["wanted"])).bitwiseOR(F.lit(1)) != 0
     texts = base.join(wanted, (base["did"] == wanted["did"]) & held).select(base["did"], "wanted", F.split("text", "\n").alias("lines"))
     # Two uses of lines, else the optimizer would split the text again for each line.
     at = lambda w: F.when(w["no"] < F.size("lines"), F.get("lines", w["no"]))
@@ -132,11 +132,13 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     of = F.struct("did", "no", F.xxhash64("line").alias("h1")).alias("of")
     lines = line.select(of, "sides", F.split("line", " ").alias("words")).repartition(n, "of")
 
-    near = variants(lines)
+    # What the joins would filter for is filtered here, so that all uses have the same exchange.
+    near = variants(lines).where("variant is not null and place is not null").repartition(n, "variant")
     many = near.groupBy("variant", "place").agg(F.min("of").alias("by"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "by")
     replaced = near.join(many, ["variant", "place"]).select("of", "by")
-    alone = lines.select(F.col("of").alias("whole"), whole(F.col("words")).alias("variant"))
-    shorter = near.select("variant", "of").join(alone, "variant").select("of", "whole")
+    alone = lines.select(F.col("of").alias("whole"), F.coalesce(whole(F.col("words")), F.lit(0)).alias("variant"))
+    held = F.hash(near["place"], alone["whole"]).bitwiseOR(F.lit(1)) != 0  # as above
+    shorter = near.join(alone, (near["variant"] == alone["variant"]) & held).select("of", "whole")
     both = F.array(F.struct("of", F.col("whole").alias("by")), F.struct(F.col("whole").alias("of"), F.col("of").alias("by")))
     longer = shorter.select(F.explode(both).alias("link")).select("link.of", "link.by")
     earlier = "by.did < of.did or (by.did = of.did and by.no < of.no)"
