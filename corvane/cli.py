@@ -39,9 +39,9 @@ def run_prepare(spark: SparkSession, cfg: DatasetConfig, force: bool = False, st
     if rows.isEmpty():
         raise ValueError("No valid images found.")
     sinks.write_csv(curate.conflicts(rows), f"{cfg.audit_dir}/cross_class_duplicates")
-    kept = curate.curated(rows, cfg.exclude_cross_class_duplicates)
-    curate.check_classes(curate.quotas(curate.content_groups(kept), cfg.split))
-    split = curate.with_class_index(curate.split_manifest(kept, cfg.split, cfg.seed), curate.class_index(spark, cfg.class_map))
+    curate.curated(rows, cfg.exclude_cross_class_duplicates)  # raises where none may be left out
+    curate.check_classes(curate.quotas(curate.clean_groups(rows), cfg.split))
+    split = curate.with_class_index(curate.split_manifest(rows, cfg.split, cfg.seed), curate.class_index(spark, cfg.class_map))
     named = curate.with_processed_path(split, prefix=len(cfg.raw_root) + 8)
     path = f"{cfg.manifest_dir}/{cfg.dataset_name}"
     sinks.write_manifest(named.select("src_path", "raw_rel_path", "class_code", "class_name", "sha256", "split", "class_idx", "processed_rel_path"), path)

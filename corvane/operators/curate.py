@@ -38,6 +38,13 @@ def content_groups(files: DataFrame) -> DataFrame:
     return first.select("sha256", "first.class_name")
 
 
+def clean_groups(files: DataFrame) -> DataFrame:
+    """content_groups of curated files, by one aggregate of all files."""
+    first = F.min(F.struct("class_code", "src_path", "class_name")).alias("first")
+    groups = files.groupBy("sha256").agg(first, F.min("class_name").alias("least"), F.max("class_name").alias("most"))
+    return groups.where("least = most").select("sha256", "first.class_name")
+
+
 def _cut(counts: DataFrame, n: str, ratio: float, name: str) -> DataFrame:
     """Adds `name`: the shares of floor(ratio * all) that classes take by largest remainder, ties by class name.
 
@@ -81,9 +88,10 @@ def split_groups(groups: DataFrame, ratios: SplitRatios, seed: int) -> DataFrame
 
 
 def split_manifest(files: DataFrame, ratios: SplitRatios, seed: int) -> DataFrame:
-    """Curated files with the split of their content: files of one content share it."""
-    kept = curated(files)
-    return kept.join(split_groups(content_groups(kept), ratios, seed).select("sha256", "split"), "sha256", "left")
+    """Curated files with the split of their content: files of one content share it.
+
+    Contents that contradict each other have no split, so the inner join leaves their files out."""
+    return files.join(split_groups(clean_groups(files), ratios, seed).select("sha256", "split"), "sha256")
 
 
 def split_class_counts(manifest: DataFrame) -> DataFrame:

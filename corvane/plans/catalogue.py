@@ -126,7 +126,7 @@ def curated_manifest(spark, d) -> DataFrame:
 
 @query(f"{_GROUPS} SELECT * FROM groups")
 def unique_content_groups(spark, d) -> DataFrame:
-    return curate.content_groups(curate.curated(documents_as_files(spark, d)))
+    return curate.clean_groups(documents_as_files(spark, d))
 
 
 @query(f"{_QUOTA} SELECT * FROM quota")
