@@ -42,19 +42,19 @@ def per_class(cells: DataFrame) -> DataFrame:
 MEASURES = ("precision", "recall_r1", "f1")
 
 
-def summary(classes: DataFrame) -> DataFrame:
-    """One row: accuracy, macro and weighted means."""
+def summary(classes: DataFrame, with_support: bool = False) -> DataFrame:
+    """One row: accuracy, macro and weighted means; with_support: also the rows that they are of."""
     n = F.sum("support")
     macro = [F.avg(m).alias(f"macro_{m}") for m in MEASURES]
     weighted = [_ratio(F.sum(F.col("support") * F.col(m)), n).alias(f"weighted_{m}") for m in MEASURES]
-    return classes.agg(_ratio(F.sum("tp"), n).alias("accuracy"), *macro, *weighted)
+    return classes.agg(_ratio(F.sum("tp"), n).alias("accuracy"), *macro, *weighted, *([n.alias("support")] if with_support else []))
 
 
 def classification_report(classes: DataFrame, names: list[str]) -> DataFrame:
     """(label, precision, recall, f1, support) of each class, then of accuracy and both means."""
     named = F.element_at(F.array(*map(F.lit, names)), (F.col("idx") + 1).cast("int"))
     rows = classes.select(named.alias("label"), "precision", F.col("recall_r1").alias("recall"), "f1", "support")
-    s = summary(classes).join(classes.agg(F.sum("support").alias("support")))
+    s = summary(classes, with_support=True)
     mean = lambda kind: s.select(F.lit(f"{kind} avg").alias("label"), *(F.col(f"{kind}_{m}") for m in MEASURES), "support")
     accuracy = s.select(F.lit("accuracy").alias("label"), *[F.col("accuracy")] * 3, "support")
     return rows.union(accuracy).union(mean("macro")).union(mean("weighted"))

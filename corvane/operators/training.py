@@ -14,9 +14,10 @@ def class_weights(rows: DataFrame, k: int, label: str = "true_idx") -> DataFrame
     """(class_idx, n, weight): all / (k * n); a class without rows counts as one row."""
     counts = rows.groupBy(F.col(label).cast("long").alias("class_idx")).agg(F.count("*").alias("n"))
     dim = rows.sparkSession.range(k).withColumnRenamed("id", "class_idx")
-    everything = rows.agg(F.count("*").alias("all"))
-    joined = dim.join(counts, "class_idx", "left").join(F.broadcast(everything))  # one row
-    return joined.select("class_idx", F.coalesce("n", F.lit(0)).alias("n"), (F.col("all") / (F.lit(k) * F.coalesce("n", F.lit(1)))).alias("weight"))
+    joined = counts.join(F.broadcast(dim), "class_idx", "full").withColumn("_all", F.sum("n").over(Window.partitionBy()))  # a row a class
+    weight = F.coalesce("_all", F.lit(0)) / (F.lit(k) * F.coalesce("n", F.lit(1)))
+    known = F.col("class_idx").between(0, k - 1)
+    return joined.where(known).select("class_idx", F.coalesce("n", F.lit(0)).alias("n"), weight.alias("weight"))
 
 
 def loss_terms(logits: Column, label: Column, weight: Column, weights: Column) -> dict[str, Column]:
@@ -28,13 +29,11 @@ def loss_terms(logits: Column, label: Column, weight: Column, weights: Column) -
 
 
 def losses(rows: DataFrame, k: int, smoothing: float, keys: list[str], weighted: bool = True) -> DataFrame:
-    """(keys, rows, loss) of (true_idx, logits) rows, by keys or over all."""
-    weights = class_weights(rows, k).agg(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "weight"))), lambda s: s["weight"]).alias("_weights"))
-    if not weighted:
-        weights = rows.sparkSession.range(1).select(F.array_repeat(F.lit(1.0), k).alias("_weights"))
-    joined = rows.join(F.broadcast(weights)).withColumn("_own", F.get("_weights", F.col("true_idx").cast("int")))  # one row
-    terms = loss_terms(F.col("logits"), F.col("true_idx"), F.col("_own"), F.col("_weights"))
-    sums = joined.groupBy(*keys).agg(*(c.alias(f"_{n}") for n, c in terms.items()))
+    """(keys, rows, loss) of (true_idx, logits) rows, by keys or over all; the k class weights are read first."""
+    found = {r.class_idx: r.weight for r in class_weights(rows, k).collect()} if weighted else {}
+    weights = F.array(*(F.lit(float(found.get(i, 1.0))) for i in range(k)))
+    terms = loss_terms(F.col("logits"), F.col("true_idx"), F.get(weights, F.col("true_idx").cast("int")), weights)
+    sums = rows.groupBy(*keys).agg(*(c.alias(f"_{n}") for n, c in terms.items()))
     loss = F.lit(1 - smoothing) * F.col("_nll") / F.col("_weight") + F.lit(smoothing / k) * F.col("_smooth") / F.col("_weight")
     return sums.select(*keys, F.col("_rows").alias("rows"), loss.alias("loss"))
 
