@@ -6,10 +6,10 @@ of 0.8. Lines are judged on the input, not on what is left. Shorter lines stay a
 
 Equal lines are one class from the first aggregate on; a class stands where its first line stands. Two lines within one
 edit share their first or last half, so only classes that share a half emit their neighbourhood: themselves, and
-themselves without each word of the other half, as 64-bit hashes with the place left out. Lines that agree in hash and place differ by
-that one word; a line that equals another's variant lacks one word. Both are found by a minimum for each hash and a
-join back to it, one row a variant: a hash that very many lines share is neither gathered nor paired. What was found
-is verified on the words.
+themselves without each word of the other half, as 64-bit hashes with the place left out. Lines that agree in hash and
+place differ by that one word; a line that equals another's variant lacks one word. Both are found by a minimum for
+each hash and a join back to it, one row a variant: a hash that very many lines share is neither gathered nor paired.
+What was found is verified on the words.
 
 Cases: a null text is empty; null ids stand last. Rows that share an id are one document as to order, so no line takes
 its equal at the same place. An empty table gives an empty one; other columns are carried in `rest`.
@@ -102,7 +102,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     rows = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.cast("decimal(38,0)").alias("place"), *(k.alias(c) for c, k in keys.items()))
     found = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.min(c).alias(c) for c in keys))
     did = F.floor(F.col("place") / F.lit(1 << 32)).cast("long")
-    return found.select("h1", "h2", did.alias("did"), (F.col("place") % F.lit(1 << 32)).cast("int").alias("no"), *keys)
+    return found.select("h1", "h2", did.alias("did"), F.pmod(F.col("place"), F.lit(1 << 32).cast("decimal(38,0)")).cast("int").alias("no"), *keys)
 
 
 def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -59,6 +59,7 @@ def test_query_equals_brute_force(spark, tmp_path):
     texts = ODD + corpus(rng, 60) + ["only w1 w2 w3 w4 w5 w6 w7", "only w1 w2 w3 w4 w5 w6 w7 w8\nonly w1 w2 w3 w4 q w6 w7", " ".join(f"u{i}" for i in range(200)), " ".join(f"u{i}" for i in range(200) if i != 130)]
     df = documents(spark, texts)
     df = df.union(df.where("doc_id in (3, 12)")).union(spark.createDataFrame([(None, texts[14] + "\nnew words stand in here", None, None, None, None), (13, texts[15], None, None, None, None), (30, texts[30] + "\nnew words stand in here", None, None, None, None)], df.schema))
+    df = df.withColumn("doc_id", F.col("doc_id") - 20)  # ids below zero too
     df.write.parquet(f"{tmp_path}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.collect()]
     want = sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for (i, _), t in zip(docs, brute(docs)))
