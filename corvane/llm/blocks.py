@@ -17,9 +17,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import total_bytes
+from corvane.llm.common import give_back, total_bytes
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES, by: Column | None = None) -> tuple[DataFrame, int]:
@@ -65,7 +65,9 @@ def ask(base: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, byte
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        return packed_table([(bucket, block, data) for bucket, data in question(rows_of(table))])
+        out = packed_table([(bucket, block, data) for bucket, data in question(rows_of(table))])
+        give_back()
+        return out
 
     return base.groupBy("block").applyInArrow(run, PACKED)
 
@@ -76,7 +78,9 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> Dat
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
-        return packed_table([(bucket, b, data) for b, data in zip(blocks, reply(table["data"].to_pylist()))])
+        out = packed_table([(bucket, b, data) for b, data in zip(blocks, reply(table["data"].to_pylist()))])
+        give_back()
+        return out
 
     return asked.groupBy("bucket").applyInArrow(run, PACKED)
 
@@ -85,6 +89,8 @@ def settle(base: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict[in
     """What each block makes of its rows and of the answers by bucket."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return use(rows_of(left), dict(zip(right["bucket"].to_pylist(), right["data"].to_pylist())))
+        out = use(rows_of(left), dict(zip(right["bucket"].to_pylist(), right["data"].to_pylist())))
+        give_back()
+        return out
 
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -67,7 +67,7 @@ def _split(rows: pa.Table) -> tuple[dict[str, int], list[Part]]:
     distinct words, place among these at each position, bounds."""
     seen: dict[str, int] = {}
     parts = []
-    for batch in slices(rows.select(["text"]).to_batches(), limit=1 << 20):
+    for batch in slices(rows.select(["text"]).to_batches(), limit=1 << 19):
         texts = batch.column("text").to_pylist()
         plain = [not odd(t) for t in texts]
         words, inverse, bounds = distinct_words([t if p else "" for t, p in zip(texts, plain)], spaced=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of a Python worker handles at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +61,13 @@ def release_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: Python workers live on for later stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries other than glibc have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `limit` bytes of the column; a longer row stands alone."""
     for batch in batches:
@@ -71,6 +80,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        give_back()
 
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
