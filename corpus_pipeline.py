@@ -47,7 +47,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash over five-word shingles one stays."""
+    """Of documents linked by SimHash, or by a Jaccard similarity of 0.8 or more, of five-word shingles one stays."""
     release_scratch(spark)
     return keep_one(_texts(docs))
 

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import Scratch, id_text, read, slices
 from corvane.llm.components import connected_components
+from corvane.llm.similar import similar_links
 
 BLOCKS = 5
 GROUP = 64
@@ -94,10 +95,10 @@ def links(fps: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     return pairs.union(hubs)
 
 
-def _rooted(each: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
-    """(fp, root) of every distinct fingerprint."""
+def _rooted(each: DataFrame, bits: int, scratch: Scratch, further=lambda found: found) -> DataFrame:
+    """(fp, root) of every distinct fingerprint. further: adds to the links."""
     fps = scratch.table(each.select("fp").distinct())
-    roots = connected_components(links(fps, bits, scratch), scratch)
+    roots = connected_components(further(links(fps, bits, scratch)), scratch)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -112,11 +113,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 2, scratch: S
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 2, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs that stand first, by id (null last) and text hash, in their component; of repeated rows one."""
+    """The rows of docs that stand first, by id (null last) and text hash, in their component; of repeated rows one.
+
+    Linked are fingerprints at `bits` or fewer differing bits, and all texts whose sets of shingles have a Jaccard
+    similarity of 0.8 or more (similar.py)."""
     scratch = scratch or Scratch(docs.sparkSession)
     order = {"_did": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")}
-    each = scratch.table(fingerprints(docs.select("text", *(c.alias(n) for n, c in order.items())), shingle))
-    first = each.groupBy("fp").agg(F.min(F.struct("_did", "_hash")).alias("first")).join(_rooted(each, bits, scratch), "fp")
+    texts = docs.select("text", *(c.alias(n) for n, c in order.items()))
+    each = scratch.table(fingerprints(texts, shingle))
+    # Equal texts are one: their sets are equal.
+    texts = texts.join(each.groupBy("_hash").agg(F.min("_did").alias("_did"), F.min("fp").alias("doc_id")), ["_hash", "_did"]).select("doc_id", "text")
+    further = lambda found: similar_links(texts, lambda t: text_hashes(t, shingle), found, scratch)
+    first = each.groupBy("fp").agg(F.min(F.struct("_did", "_hash")).alias("first")).join(_rooted(each, bits, scratch, further), "fp")
     keepers = first.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     return docs.withColumns(order).join(keepers, list(order), "left_semi").dropDuplicates(list(order)).drop(*order)
 
