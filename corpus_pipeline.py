@@ -41,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that repeat an earlier one within one edited word."""
+    """Lines go that repeat an earlier one, those of five words or more within one edited word."""
     release_scratch(spark)
     return _unpacked(deduplicate_lines(_texts(docs)))
 

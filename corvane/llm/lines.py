@@ -2,7 +2,8 @@
 
 A line of MIN_WORDS words or more goes if an earlier line (smaller id, or same document and earlier place) is equal to
 it, word by word, or differs by one inserted, deleted or replaced word; with five words or more that keeps a similarity
-of 0.8. Lines are judged on the input, not on what is left. Shorter lines stay and take no line with them.
+of 0.8. A shorter line goes if an earlier one is equal to it; lines without a word stay. Lines are judged on the input,
+not on what is left.
 
 Equal lines are one class from the first aggregate on; a class stands where its first line stands. Two lines within one
 edit share their first or last half, so only classes that share a half emit their neighbourhood: themselves, and
@@ -28,7 +29,7 @@ MIN_WORDS = 5
 PART_BYTES = 16 << 20
 CHUNK = 64
 LAST = (1 << 63) - 1
-SHORT = "short"
+EMPTY = "empty"
 
 
 def plain(line: Column) -> Column:
@@ -94,10 +95,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def _classes(docs: DataFrame) -> DataFrame:
     """Classes of equal lines: (h1, h2), where the first stands (did, no), and hashes of their halves."""
     line = docs.select("did", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    line = line.select("did", "no", plain(F.col("line")).alias("line")).withColumn("n", word_count(F.col("line"))).where(F.col("n") >= MIN_WORDS)
+    line = line.select("did", "no", plain(F.col("line")).alias("line")).withColumn("n", word_count(F.col("line"))).where("line <> ''")
     place = F.col("did").cast("decimal(38,0)") * F.lit(1 << 32) + F.col("no")  # fits a hash aggregate's buffer
     big, small = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    half = lambda side, h: F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h if side else -h))
+    # Lines too short to have variants have no halves.
+    half = lambda side, h: F.when(F.col("n") >= MIN_WORDS, F.xxhash64(F.lit(side), h, F.call_function("substring_index", F.col("line"), F.lit(" "), h if side else -h)))
     keys = {f"k{side}{i}": half(side, h) for side in (0, 1) for i, h in enumerate((big, small))}
     rows = line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.cast("decimal(38,0)").alias("place"), *(k.alias(c) for c, k in keys.items()))
     found = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), *(F.min(c).alias(c) for c in keys))
@@ -116,7 +118,7 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     base = docs.repartition(n, "did")
 
     sided = F.array_distinct(F.array(*(F.struct(F.lit(side).alias("side"), F.col(f"k{side}{i}").alias("key")) for side in (0, 1) for i in (0, 1))))
-    keyed = classes.select("did", "no", F.explode(sided).alias("k")).select("did", "no", "k.side", "k.key")
+    keyed = classes.where("k00 is not null").select("did", "no", F.explode(sided).alias("k")).select("did", "no", "k.side", "k.key")
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     wanted = keyed.join(shared, "key", "left_semi").groupBy("did", "no").agg(F.collect_set("side").alias("sides"))
     wanted = wanted.groupBy("did").agg(F.collect_list(F.struct("no", "sides")).alias("wanted")).hint("shuffle_hash")
@@ -156,13 +158,13 @@ def deduplicate_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
 
     def mark_line(line: Column, no: Column) -> Column:
         bare = plain(line)
-        return F.when(word_count(bare) < MIN_WORDS, F.concat(F.lpad(F.hex(no), 8, "0"), F.lit(SHORT))).otherwise(mark(no, F.xxhash64(bare)))
+        return F.when(bare == "", F.concat(F.lpad(F.hex(no), 8, "0"), F.lit(EMPTY))).otherwise(mark(no, F.xxhash64(bare)))
 
     marks = lambda c: F.coalesce(F.transform(c, lambda p: mark(p["no"], p["h1"])), F.array().cast("array<string>"))
     out = out.select("doc_id", "rest", marks("first").alias("first"), marks("gone").alias("gone"), F.split("text", "\n").alias("lines"))
     out = out.select("doc_id", "rest", "first", "gone", "lines", F.transform("lines", mark_line).alias("marks"))
-    short = F.filter("marks", lambda m: m.endswith(SHORT))
-    stay = F.array_sort(F.concat(short, F.array_except(F.array_intersect("marks", "first"), "gone")))
+    empty = F.filter("marks", lambda m: m.endswith(EMPTY))
+    stay = F.array_sort(F.concat(empty, F.array_except(F.array_intersect("marks", "first"), "gone")))
     out = out.select("doc_id", "rest", "lines", stay.alias("stay"))
     kept = F.transform("stay", lambda m: F.get("lines", F.conv(F.substring(m, 1, 8), 16, 10).cast("int")))
     n_lines, n_left = F.size("lines").cast("long"), F.size("stay").cast("long")
