@@ -87,7 +87,7 @@ def runs_of(rows: pa.Table, least: int, hot: np.ndarray | None = None) -> Iterat
         # Places that are the least of some window; between two equal ones in reach of a window no other lies.
         padded = np.concatenate([np.zeros(width - 1, np.uint64), anchor, np.zeros(width - 1, np.uint64)])
         place = np.flatnonzero(_least_of(padded, width, np.maximum) == hashes)
-        same = (hashes[place[1:]] == hashes[place[:-1]]) & (place[1:] - place[:-1] < width)
+        same = (hashes[place[1:]] == hashes[place[:-1]]) & (place[1:] - place[:-1] <= width)  # at width no window holds both, but one run does
         tie = place[:-1][same]
         row = np.searchsorted(bounds, np.arange(len(anchor)), "right") - 1
         inside = np.arange(len(anchor)) + least <= bounds[row + 1]
