@@ -3,7 +3,7 @@
 Lengths lie between 1 and the capacity, so an instance is its count of pieces by length: at most `capacity` numbers,
 whatever the number of documents. The driver reduces and packs those counts; it never sees a piece. Pieces are ranked
 within their length on the executors (a length is dealt over SALTS groups, so that no length fills one task) and read
-their place from the plan, whose size is bounded by the capacity too.
+their place from the plan, whose size is bounded by the capacity too: each of its steps uses a length up.
 
 Cases: a null text is empty and gives one piece, of the closing id alone. Repeated rows and rows that share an id are
 packed each. Null ids stay null. An empty table gives an empty one; other columns are ignored. Ties in length are
@@ -55,10 +55,13 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, Patte
     """
     fixed: list[tuple[int, Pattern]] = []
 
-    def take(times: int, *lengths: int) -> None:
+    def take(*lengths: int) -> None:
+        """As often as there are pieces for it: taking pieces away never breaks a condition that led here, so the set
+        stays dominant until one of its lengths is used up. That bounds the plan by the lengths, not by the pieces."""
+        times = int(min(counts[x] // lengths.count(x) for x in lengths))
         for x in lengths:
             counts[x] -= times
-        fixed.append((int(times), tuple((x, 1) for x in lengths)))
+        fixed.append((times, tuple((x, 1) for x in lengths)))
 
     again = True
     while again:
@@ -79,15 +82,11 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, Patte
                             pair, second = max(pair, (a + int(b), a)), max(second, int(b))
                 counts[j] += 1
                 if not best:
-                    take(counts[j], j)
-                elif best == rest:
-                    take(counts[j] // 2 if best == j else min(counts[j], counts[best]), j, best)
-                elif len(least) < 2 or least[:2].sum() > rest:
-                    take(1, j, best)
-                elif pair[0] and best >= pair[0]:
-                    take(1, j, best)
+                    take(j)
+                elif best == rest or len(least) < 2 or least[:2].sum() > rest or 0 < pair[0] <= best:
+                    take(j, best)
                 elif pair[0] and pair[1] == best and second <= pair[0] - pair[1]:
-                    take(1, j, best, pair[0] - pair[1])
+                    take(j, best, pair[0] - pair[1])
                 else:
                     break
                 again = True
@@ -141,12 +140,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndarray]:
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ...) that can be read twice."""
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    sizes = salted.groupBy("length", "_salt").count()  # SALTS * capacity rows at most
-    got = {(r.length, r._salt): r["count"] for r in sizes.collect()}
-    counts, before = np.zeros(capacity + 1, np.int64), np.zeros((capacity + 1, SALTS), np.int64)
-    for (length, salt), n in sorted(got.items()):
-        before[length, salt] = counts[length]
-        counts[length] += n
+    got = salted.groupBy("length", "_salt").count().toArrow()  # SALTS * capacity rows at most
+    each = np.zeros((capacity + 1, SALTS), np.int64)
+    each[tuple(got[c].to_numpy() for c in ("length", "_salt"))] = got["count"].to_numpy()
+    counts, before = each.sum(axis=1), np.cumsum(each, axis=1) - each
     runs = plan(counts, capacity)
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)).cast("long"))

@@ -99,6 +99,31 @@ def test_plan_places_each_rank_once():
         assert end <= 50
 
 
+def test_plan_does_not_grow_with_the_pieces():
+    for n in (10**3, 10**9):
+        counts = np.zeros(2049, np.int64)
+        counts[[1040, 1000, 700, 300, 2048]] = n, n, n, 3 * n, n // 7
+        runs = packing.plan(counts.copy())
+        assert sum(map(len, runs.values())) < 40
+        for size, table in runs.items():
+            assert table[0, 0] == 0 and table[-1, 0] < counts[size]
+
+
+def test_pieces_of_a_long_text_and_a_null_id(spark):
+    texts = ["a b c " * 3000, None, "x"]
+    df = documents(spark, texts).selectExpr("nullif(doc_id, 2L) as doc_id", "text")
+    rows = sorted(packing.tokenised_pieces(df, WORDS, 50).collect(), key=lambda r: (str(r.doc_id), r.piece))
+    found = {}
+    for r in rows:
+        assert r.start == 50 * r.piece and r.length == len(r.ids) // 4 <= 50
+        found.setdefault(r.doc_id, []).append(np.frombuffer(r.ids, "<u4"))
+    library = Tokenizer.from_file(WORDS)
+    for i, t in ((0, texts[0]), (1, ""), (None, "x")):
+        assert np.concatenate(found[i]).tolist() == library.encode(t, add_special_tokens=False).ids + [0]
+    placed = packing.place(packing.tokenised_pieces(df, WORDS, 50).drop("ids"), 50)
+    assert placed.count() == len(rows) and placed.where("doc_id is null").count() == 1
+
+
 def test_query(spark, tmp_path):
     odd_documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     rows = packing.op9_packing(spark, str(tmp_path)).collect()
@@ -114,6 +139,8 @@ def test_query(spark, tmp_path):
     for slots in used.values():
         ends = np.cumsum([n for _, n in sorted(slots)])
         assert [at for at, _ in sorted(slots)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    counts = np.bincount([r.length for r in rows], minlength=2049)
+    assert len(used) <= 1 + 1.02 * lower_bound(counts, 2048)
 
 
 def test_empty_table(spark):
