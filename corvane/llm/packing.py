@@ -33,12 +33,17 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
         for batch in slices(batches):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids([t or "" for t in batch.column("text").to_pylist()])):
-                data = np.append(ids, np.uint32(CLOSE)).astype("<u4")
-                rows += [(doc_id, i, at, len(part := data[at : at + capacity]), part.tobytes()) for i, at in enumerate(range(0, len(data), capacity))]
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids"])
+            ids, cuts = encoder.flat([t or "" for t in batch.column("text").to_pylist()])
+            ids = np.insert(ids, cuts[1:], CLOSE).astype("<u4")
+            size = np.diff(cuts) + 1
+            of = np.repeat(np.arange(len(size)), -(-size // capacity))
+            piece = np.arange(len(of)) - np.searchsorted(of, of)
+            start = piece * capacity
+            length = np.minimum(size[of] - start, capacity)
+            ends = np.append(0, np.cumsum(length)).astype(np.int32) * 4
+            data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 

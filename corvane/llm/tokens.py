@@ -16,7 +16,7 @@ from corvane.llm.segments import LETTER, NUMBER, OTHER, SPACE, UNASSIGNED, class
 
 #: The endings that both patterns split off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHED_WORDS = 200_000  # of a worker, at most
+CACHED_WORDS = 400_000  # of a worker; a slice of texts with more distinct words holds its own only
 SPECIALS = ("<|endoftext|>", "<|startoftext|>")
 
 
@@ -120,25 +120,77 @@ def encode_words(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for at in range(0, len(words), 1000) for e in found.encode_batch_fast(words[at : at + 1000], add_special_tokens=False)]
 
 
+@lru_cache(1)
+def closes_word(path: str) -> np.ndarray:
+    """By id, whether a piece ends a word."""
+    vocabulary = tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+    return out
+
+
+def encode_parted(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words one after the other, how many each has), for a tokenizer that drops white space and marks the
+    ends of words: a line of many words costs the library less than as many lines."""
+    found, ends, ids, sizes = tokenizer(path), closes_word(path), [], []
+    for at in range(0, len(words), 1000):
+        part = words[at : at + 1000]
+        got = np.array(found.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+        last = np.flatnonzero(ends[got])
+        if len(last) == len(part) and last[-1] == len(got) - 1:
+            size = np.diff(last, prepend=-1)
+        else:
+            each = encode_words(path, part)
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            got = np.fromiter((i for one in each for i in one), np.int64, int(size.sum()))
+        ids.append(got), sizes.append(size)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + ids).astype(np.uint32), np.concatenate(none + sizes)
+
+
 class Encoder:
-    """Encodes whole texts; each distinct word is encoded once while it stays in the worker's cache."""
+    """Encodes whole texts by the lower-casing word tokenizer; a distinct word is encoded once while the worker holds it."""
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path = path
+        self.keys, self.begin, self.size, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is held; what stands there may be another."""
+        return np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+
+    def _hold(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, size = encode_parted(self.path, words)
+        begin = np.cumsum(size) - size + len(self.values)
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.begin, self.size = (np.concatenate(c)[order] for c in ((self.keys, keys), (self.begin, begin), (self.size, size)))
+        self.values = np.concatenate([self.values, ids])
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where those of each text begin, the end included)."""
+        plain = [not odd(t) for t in texts]
+        texts_low = [lowered(t) if p else "" for t, p in zip(texts, plain)]
+        codes, bounds = code_points(texts_low)
+        starts, ends = split(codes, bounds, spaced=False)
+        keys, first, inverse = np.unique(segment_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[self._places(keys)] != keys
+        if len(self.keys) + new.sum() > CACHED_WORDS:
+            self.__init__(self.path)
+            new[:] = True
+        if new.any():
+            joined = "".join(texts_low)
+            self._hold(keys[new], [joined[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        place = self._places(keys)[inverse] if len(keys) else np.zeros(0, np.int64)
+        size = self.size[place]
+        at = np.concatenate([[0], np.cumsum(size)])
+        values = self.values[np.repeat(self.begin[place] - at[:-1], size) + np.arange(at[-1])]
+        cuts = at[np.searchsorted(starts, bounds)]
+        if all(plain):
+            return values, cuts
+        parts = [values[a:b] if p else np.array(encode_words(self.path, [t])[0], np.uint32) for t, p, a, b in zip(texts, plain, cuts, cuts[1:])]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text by the lower-casing word tokenizer."""
-        plain = [not odd(t) for t in texts]
-        words, inverse, bounds = distinct_words([lowered(t) if p else "" for t, p in zip(texts, plain)], spaced=False)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, words
-        self.known.update(zip(new, map(np.array, encode_words(self.path, new))) if new else ())
-        found = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        values, at = gather(inverse, sizes, np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.uint32))
-        out = [values[at[a] : at[b]] for a, b in zip(bounds[:-1], bounds[1:])]
-        for i, p in enumerate(plain):
-            if not p:
-                out[i] = np.array(encode_words(self.path, [texts[i]])[0], np.uint32)
-        return out
+        """The ids of each text."""
+        values, cuts = self.flat(texts)
+        return [values[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
