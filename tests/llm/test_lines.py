@@ -19,21 +19,21 @@ def distance(a, b):
 
 
 def brute(docs):
-    """docs: (id, text). Texts without each line of five words that has an earlier one within one edit."""
+    """docs: (id, text). Texts without each line that equals an earlier one, or, of five words, lies within one edit of it."""
     order = lambda i: i if i is not None else 1 << 70
     known = {}
     for i, text in docs:
         for no, line in enumerate((text or "").split("\n")):
             words = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(words) >= 5:
+            if words:
                 known[words] = min(known.get(words, (1 << 80, 0)), (order(i), no))
     out = []
     for i, text in docs:
         kept = []
         for no, line in enumerate((text or "").split("\n")):
             words = tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
-            near = (k for k in known if abs(len(k) - len(words)) <= 1 and known[k] < (order(i), no) and distance(k, words) <= 1)
-            if len(words) < 5 or next(near, None) is None:
+            alike = lambda k: k == words or (min(len(k), len(words)) >= 5 and abs(len(k) - len(words)) <= 1 and distance(k, words) <= 1)
+            if not words or not any(known[k] < (order(i), no) and alike(k) for k in known):
                 kept.append(line)
         out.append("\n".join(kept))
     return out
@@ -74,6 +74,21 @@ def test_one_hash_shared_by_very_many_lines(spark):
     assert [(r.doc_id, r.n_lines) for r in out.where("n_removed = 0").collect()] == [(0, 1)] and out.count() == 3000
 
 
+def test_rows_without_an_id_are_ordered_by_their_texts(spark):
+    texts = [f"a line of seven words {i % 40} here\nshort {i % 7}" for i in range(300)]
+    df = documents(spark, texts).selectExpr("cast(null as long) as doc_id", "text")
+    kept = [x for r in lines.deduplicate_lines(df).collect() for x in r.text.split("\n") if x]
+    # One line of each class stays: those of seven words are all within one edit. Rows of the same text are one document.
+    assert {x for x in kept if x.startswith("short")} == {f"short {i}" for i in range(7)}
+    assert len({x for x in kept if x.startswith("a line")}) == 1
+
+
+def test_bucket_of_one_row_sharing_an_id_hides_no_earlier_line(spark):
+    texts = ["u v w x y z 1", "u v w x y z 2", "u v w x y z 3"]
+    df = documents(spark, texts).selectExpr("if(doc_id = 0, 0L, 5L) as doc_id", "text")
+    assert {r.text for r in lines.deduplicate_lines(df).collect() if r.doc_id == 5} == {""}
+
+
 def test_empty_table(spark):
     assert lines.deduplicate_lines(id_text(documents(spark, []))).count() == 0
 
