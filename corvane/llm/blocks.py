@@ -72,12 +72,15 @@ def ask(base: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, byte
     return base.groupBy("block").applyInArrow(run, PACKED)
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Each bucket's packed answers to the blocks, in the order of their questions."""
+def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]], buckets: int | None = None) -> DataFrame:
+    """Each bucket's packed answers to the blocks, in the order of their questions. Rows of a bucket from `buckets` on
+    are a block's notes to itself and pass."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+        if buckets is not None and bucket >= buckets:
+            return table.select(["bucket", "block", "data"])
         out = packed_table([(bucket, b, data) for b, data in zip(blocks, reply(table["data"].to_pylist()))])
         give_back()
         return out

@@ -3,9 +3,11 @@
 Windows of `least` bytes that are equal have the same least hashed GRAM-byte string inside, so each run of windows with
 one such anchor goes to the bucket of the anchor, and all copies of a window meet there. Two exchanges of packed rows
 (see blocks.py) do this: first each block asks which of its anchors are found elsewhere, then it sends the text around
-those only. A bucket holds equal runs once, builds a suffix array over runs that differ but share an anchor, and finds
-windows with a common prefix of `least` bytes by threshold-bounded interval expansion on the Burrows-Wheeler transform
-(suffix.py). Anchors with over HOT runs are divided further by the least second hash in the window.
+those only: each distinct run once a block, with the place where it stands first there; its other places stay with the
+block. A bucket merges equal runs and builds suffix arrays over all distinct ones, PART_BYTES at a time. Threshold-bounded
+interval expansion on the Burrows-Wheeler transform (suffix.py) gives the windows with a common prefix of `least` bytes;
+in each such interval the earliest window stays and all others go, in whichever run or copy they stand. Anchors with
+over HOT runs are divided further by the least second hash in the window.
 
 Cases: a null text is empty; texts under `least` bytes hold no window. Order is by id (null last), then by place; rows
 that share an id count as one document there, so none of several identical rows takes bytes from another. An empty
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.blocks import answer, ask, blocked, pack, settle, unpack
+from corvane.llm.blocks import answer, ask, blocked, pack, packed_table, settle, unpack
 from corvane.llm.common import SLICE_BYTES, id_text, read
 from corvane.llm.segments import mix
 from corvane.llm.suffix import shared_groups
@@ -31,6 +33,7 @@ from corvane.llm.suffix import shared_groups
 LEAST = 100
 GRAM = 20
 HOT = 4096
+PART_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -46,8 +49,24 @@ class Runs:
     anchor: np.ndarray
     twice: np.ndarray  # whether the anchor stands there more than once
 
-    def text(self, i: int, least: int) -> bytes:
-        return self.raw[self.at[i] : self.at[i] + self.count[i] + least - 1]
+    def where(self, chosen: np.ndarray) -> Runs:
+        return Runs(self.raw, *(c[chosen] for c in (self.row, self.start, self.at, self.count, self.anchor, self.twice)))
+
+    def texts(self, least: int) -> list[bytes]:
+        return [self.raw[a:b] for a, b in zip(self.at.tolist(), (self.at + self.count + least - 1).tolist())]
+
+    def divided(self, least: int) -> Runs:
+        """The runs cut where the least second hash in the window changes, which is in the key then."""
+        raw = b"".join(self.texts(least))
+        size = self.count + least - 1
+        begin = np.cumsum(size) - size
+        second = _least_of(mix(_gram_hashes(np.frombuffer(raw, np.uint8)) ^ np.uint64(0x5851F42D4C957F2D)), least - GRAM + 1)
+        of = np.repeat(np.arange(len(size)), self.count)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        key = mix(self.anchor[of] ^ second[begin[of] + at])
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
+        run, at = of[first], at[first]
+        return Runs(raw, self.row[run], self.start[run] + at, begin[run] + at, np.diff(np.append(first, len(of))), key[first], self.twice[run])
 
 
 def _least_of(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
@@ -68,8 +87,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(h[16][: len(data) - GRAM + 1] * factors[2] + h[4][16:])
 
 
-def runs_of(rows: pa.Table, least: int, hot: np.ndarray | None = None) -> Iterator[Runs]:
-    """The runs of a block, slice by slice. `hot`: sorted anchors that are divided further."""
+def runs_of(rows: pa.Table, least: int) -> Iterator[Runs]:
+    """The runs of a block, slice by slice."""
     texts = rows["text"].cast(pa.binary()).to_pylist()
     width, first = least - GRAM + 1, 0
     while first < len(texts):
@@ -91,16 +110,12 @@ def runs_of(rows: pa.Table, least: int, hot: np.ndarray | None = None) -> Iterat
         tie = place[:-1][same]
         row = np.searchsorted(bounds, np.arange(len(anchor)), "right") - 1
         inside = np.arange(len(anchor)) + least <= bounds[row + 1]
-        key = anchor
-        if hot is not None and len(hot):
-            spot = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-            key = np.where(hot[spot] == anchor, mix(anchor ^ _least_of(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), width)), anchor)
-        cut = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
+        cut = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
         at = np.flatnonzero(cut & inside)
         ends = np.append(np.flatnonzero(cut), len(anchor))
         end = np.minimum(ends[np.searchsorted(ends, at, "right")], bounds[row[at] + 1] - least + 1)
         twice = np.searchsorted(tie, end + width - 1) > np.searchsorted(tie, at)
-        yield Runs(raw, row[at] + base, at - bounds[row[at]], at, end - at, key[at], twice)
+        yield Runs(raw, row[at] + base, at - bounds[row[at]], at, end - at, anchor[at], twice)
 
 
 def _by_bucket(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +147,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, with_text: bool = False)
         raise ValueError(f"strings of {GRAM} bytes at least")
     base, n = blocked(docs)
 
-    def anchors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(runs: list[Runs]) -> tuple[np.ndarray, np.ndarray]:
         """A block's distinct anchors in order, and what is known of each: found there once, or more."""
-        runs = list(runs_of(rows, least))
         values, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r.anchor for r in runs)]), return_counts=True)
         again = np.zeros(len(values), bool)
         for r in runs:
@@ -142,7 +156,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, with_text: bool = False)
         return values, np.where(again, np.maximum(times, 2), times)
 
     def which(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        values, times = anchors(rows)
+        values, times = anchors(list(runs_of(rows, least)))
         order, begins = _by_bucket(values, n)
         for b in range(n):
             mine = order[begins[b] : begins[b + 1]]
@@ -157,43 +171,60 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, with_text: bool = False)
         return [pack(level[a:b]) for a, b in zip(ends, ends[1:])]
 
     def send(rows: pa.Table, levels: dict[int, bytes]) -> pa.Table:
-        values, _ = anchors(rows)
+        runs = list(runs_of(rows, least))
+        values, _ = anchors(runs)
         order, begins = _by_bucket(values, n)
         level = np.zeros(len(values), np.uint8)
         for b, data in levels.items():
             level[order[begins[b] : begins[b + 1]]] = unpack(data, np.uint8)[0]
-        hot = values[level == 2]
-        wanted, seen, out = np.sort(np.append(values[level > 0], np.uint64(0))), {}, []
+        seen: dict[bytes, int] = {}
+        keys, of, row, start = [], [], [], []
+        while runs:
+            r = runs.pop(0)
+            at = level[np.searchsorted(values, r.anchor)]
+            for part in (r.where(at == 1), r.where(at == 2).divided(least) if (at == 2).any() else None):
+                if part is not None and len(part.row):
+                    known = len(seen)
+                    mine = np.array([seen.setdefault(t, len(seen)) for t in part.texts(least)])
+                    new = np.flatnonzero(mine >= known)
+                    keys.append(part.anchor[new[np.unique(mine[new], return_index=True)[1]]])
+                    of.append(mine), row.append(part.row), start.append(part.start)
+        if not seen:
+            return packed_table([])
+        keys, of, row, start = map(np.concatenate, (keys, of, row, start))
+        texts, block = list(seen), rows["block"][0].as_py()
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         ids = rows["doc_id"].fill_null(NO_ID).to_numpy()
-        for r in runs_of(rows, least, hot):
-            # A divided anchor's key is new, so it is not among those asked about.
-            spot = np.minimum(np.searchsorted(values, r.anchor), max(0, len(values) - 1))
-            for i in np.flatnonzero((wanted[np.searchsorted(wanted, r.anchor, "right") - 1] == r.anchor) | (values[spot] != r.anchor)):
-                at = seen.setdefault((int(r.anchor[i]), r.text(i, least)), len(seen))
-                if at == len(out):
-                    out.append((bool(r.twice[i]), []))
-                out[at][1].append((int(r.row[i]), int(r.start[i])))
-        keys = np.fromiter((k for k, _ in seen), np.uint64, len(seen))
-        texts = [t for _, t in seen]
+        places = np.lexsort((start, ids[row], of))
+        first = places[np.append(True, of[places][1:] != of[places][:-1])]
+        leads = (ids[row] == ids[row[first]][of]) & (start == start[first][of])
+        result = [(n + block, block, pack(size.astype(np.uint32), of.astype(np.uint32), row.astype(np.uint32), start.astype(np.uint32), leads))]
         order, begins = _by_bucket(keys, n)
-        result, block = [], rows["block"][0].as_py()
         for b in range(n):
             mine = order[begins[b] : begins[b + 1]]
             if len(mine):
-                found = np.array([p for i in mine for p in out[i][1]], np.int64)
-                columns = (
-                    (keys[mine] >> np.uint64(32)).astype(np.uint32), np.array([len(texts[i]) for i in mine], np.uint32), np.array([out[i][0] for i in mine], bool),
-                    np.array([len(out[i][1]) for i in mine], np.uint32), found[:, 0].astype(np.uint32), found[:, 1].astype(np.uint32), ids[found[:, 0]], b"".join(texts[i] for i in mine),
-                )
-                result.append((b, block, pack(*columns)))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*result), (pa.int32(), pa.int32(), pa.binary()))] if result else [pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary())], ["bucket", "block", "data"])
+                anchor = (keys[mine] >> np.uint64(32)).astype(np.uint32)
+                result.append((b, block, pack(anchor, size[mine].astype(np.uint32), mine.astype(np.uint32), ids[row[first[mine]]], start[first[mine]].astype(np.uint32), b"".join(texts[i] for i in mine.tolist()))))
+        return packed_table(result)
 
     def judged(questions: list[bytes]) -> list[bytes]:
         return _judge(questions, least)
 
     def result(rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        parts = [unpack(a, np.uint32, np.uint32, np.uint32) for a in answers.values()]
-        row, start, length = (np.concatenate([np.zeros(0, np.uint32), *(p[k] for p in parts)]).astype(np.int64) for k in range(3))
+        own = answers.pop(n + rows["block"][0].as_py(), None)
+        row = start = length = np.zeros(0, np.int64)
+        if own is not None:
+            size, of, row, start, leads = (x.astype(np.int64) for x in unpack(own, np.uint32, np.uint32, np.uint32, np.uint32, bool))
+            parts = [unpack(a, np.uint32, np.uint32, np.uint32) for a in answers.values()]
+            run, offset, part = (np.concatenate([np.zeros(0, np.uint32), *(p[k] for p in parts)]).astype(np.int64) for k in range(3))
+            by = np.argsort(run, kind="stable")
+            run, offset, part = run[by], offset[by], part[by]
+            # What stands first here loses what the bucket says, what stands later here loses all.
+            mine, other = np.flatnonzero(leads), np.flatnonzero(leads == 0)
+            lo, hi = np.searchsorted(run, of[mine]), np.searchsorted(run, of[mine], "right")
+            at = np.repeat(mine, hi - lo)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            row, start, length = np.append(row[at], row[other]), np.append(start[at] + offset[nth], start[other]), np.append(part[nth], size[of[other]])
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], (start + length)[order]
         kept, spans, left = [], [], []
@@ -216,73 +247,74 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, with_text: bool = False)
     runs = settle(base, levels, send, "bucket int, block int, data binary")
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, spans array<struct<start: long, length: long>>")
     schema = schema.add("rest", base.schema["rest"].dataType)
-    return settle(base, answer(runs, judged), result, schema.add("text", "string") if with_text else schema)
+    return settle(base, answer(runs, judged, n), result, schema.add("text", "string") if with_text else schema)
 
 
 def _judge(questions: list[bytes], least: int) -> list[bytes]:
-    """For each block's runs, the spans (row, start, length) whose strings start earlier elsewhere."""
-    kinds = np.uint32, np.uint32, bool, np.uint32, np.uint32, np.uint32, np.int64, bytes
+    """For each block's runs, the stretches (run, offset, length) whose strings start earlier elsewhere."""
     known: dict[bytes, int] = {}
-    anchors, twice, of_run, rows, starts, ids, source = [], [], [], [], [], [], []
+    anchors, of, numbers, ids, starts, source = [], [], [], [], [], []
     for k, q in enumerate(questions):
-        anchor, size, two, times, row, start, doc, text = unpack(q, *kinds)
+        anchor, size, number, doc, start, text = unpack(q, np.uint32, np.uint32, np.uint32, np.int64, np.uint32, bytes)
         ends = np.cumsum(size).tolist()
-        mine = np.empty(len(size), np.int64)
-        for i, (a, b) in enumerate(zip([0, *ends], ends)):
-            mine[i] = at = known.setdefault(text[a:b], len(known))
-            if at == len(anchors):
-                anchors.append(anchor[i])
-                twice.append(two[i])
-        of_run.append(np.repeat(mine, times))
-        rows.append(row), starts.append(start.astype(np.int64)), ids.append(doc), source.append(np.full(len(row), k))
-    of_run, rows, starts, ids, source = map(np.concatenate, (of_run, rows, starts, ids, source))
+        before = len(known)
+        mine = np.array([known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends)])
+        anchors.append(anchor[mine >= before])  # a block sends a run once
+        of.append(mine), numbers.append(number), ids.append(doc), starts.append(start.astype(np.int64)), source.append(np.full(len(mine), k))
+    anchors, of, numbers, ids, starts, source = map(np.concatenate, (anchors, of, numbers, ids, starts, source))
     texts, sizes = list(known), np.fromiter(map(len, known), np.int64, len(known))
-    order = np.lexsort((starts, ids, of_run))
-    first = order[np.append(True, of_run[order][1:] != of_run[order][:-1])]  # of each run: where it stands first
+    del known
+    order = np.lexsort((starts, ids, of))
+    first = order[np.append(True, of[order][1:] != of[order][:-1])]  # of each run: where it stands first
     first_id, first_start = ids[first], starts[first]
-    here_first = (ids == first_id[of_run]) & (starts == first_start[of_run])
-    spans = [(source[~here_first], rows[~here_first], starts[~here_first], sizes[of_run[~here_first]])]
-    # What stands first as a whole may still hold strings that start earlier in another run, or in itself.
-    _, inverse, times = np.unique(np.array(anchors, np.uint32), return_inverse=True, return_counts=True)
-    compared = np.flatnonzero((times[inverse] > 1) | np.array(twice, bool))
-    if len(compared):
-        joined = b"".join(texts[i] for i in compared)
-        size = sizes[compared]
-        begin = np.cumsum(size + 1) - size - 1
-        symbols = np.ones(int((size + 1).sum()) + 1, np.uint16)
-        symbols[-1] = 0
-        text_places = np.arange(len(joined)) + np.repeat(np.arange(len(size)), size)
-        symbols[text_places] = np.frombuffer(joined, np.uint8).astype(np.uint16) + 2
-        places, group = shared_groups(symbols, least)
-        run = np.searchsorted(begin, places, "right") - 1
-        offset = places - begin[run]
-        window = offset + least <= size[run]
-        group, run, offset = group[window], run[window], offset[window]
-        doc, place = first_id[compared[run]], first_start[compared[run]] + offset
-        order = np.lexsort((place, doc, group))
-        group, run, offset, doc, place = group[order], run[order], offset[order], doc[order], place[order]
-        head = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), np.arange(len(group)), 0))
-        late = (doc != doc[head]) | (place != place[head])
-        run, offset = run[late], offset[late]
-        order = np.lexsort((offset, run))
-        run, offset = run[order], offset[order]
-        if len(run):
-            new = np.append(True, (run[1:] != run[:-1]) | (offset[1:] > offset[:-1] + least))
-            head = np.flatnonzero(new)
-            length = offset[np.append(head[1:], len(run)) - 1] + least - offset[head]
-            stretch_run, stretch_at = compared[run[head]], offset[head]
-            by = np.argsort(stretch_run, kind="stable")
-            stretch_run, stretch_at, length = stretch_run[by], stretch_at[by], length[by]
-            mine = np.flatnonzero(here_first)
-            lo, hi = np.searchsorted(stretch_run, of_run[mine]), np.searchsorted(stretch_run, of_run[mine], "right")
-            which = np.repeat(mine, hi - lo)
-            nth = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-            spans.append((source[which], rows[which], starts[which] + stretch_at[nth], length[nth]))
-    where, row, start, length = (np.concatenate(c) for c in zip(*spans))
-    order = np.lexsort((start, row, where))
-    where, row, start, end = where[order], row[order].astype(np.uint32), start[order], (start + length)[order]
-    begins = np.searchsorted(where, np.arange(len(questions) + 1))
-    return [pack(row[a:b], start[a:b].astype(np.uint32), (end - start)[a:b].astype(np.uint32)) for a, b in zip(begins, begins[1:])]
+    leads = (ids == first_id[of]) & (starts == first_start[of])
+    # Runs with different anchors share no window, so a part holds all that may match.
+    parts = 1 + int(sizes.sum()) // PART_BYTES
+    part = anchors % np.uint32(parts)
+    by_part = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
+    late = [_late_stretches([texts[i] for i in mine.tolist()], first_id[mine], first_start[mine], least, mine) for a, b in zip(cuts, cuts[1:]) if len(mine := by_part[a:b])]
+    run, offset, length = (np.concatenate([x[k] for x in late]) for k in range(3))
+    by = np.argsort(run, kind="stable")
+    run, offset, length = run[by], offset[by], length[by]
+    # A run that does not lead stands later with every window; a leading one where an interval has an earlier window.
+    mine, other = np.flatnonzero(leads), np.flatnonzero(~leads)
+    lo, hi = np.searchsorted(run, of[mine]), np.searchsorted(run, of[mine], "right")
+    entry = np.repeat(mine, hi - lo)
+    nth = np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    entry, offset, length = np.append(entry, other), np.append(offset[nth], np.zeros(len(other), np.int64)), np.append(length[nth], sizes[of[other]])
+    order = np.argsort(source[entry], kind="stable")
+    entry, offset, length = entry[order], offset[order], length[order]
+    begins = np.searchsorted(source[entry], np.arange(len(questions) + 1))
+    return [pack(numbers[entry[a:b]], offset[a:b].astype(np.uint32), length[a:b].astype(np.uint32)) for a, b in zip(begins, begins[1:])]
+
+
+def _late_stretches(texts: list[bytes], doc: np.ndarray, start: np.ndarray, least: int, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the run, offset, length) of the stretches of distinct runs whose windows have an equal one that starts
+    earlier, by (doc, start), in another of the runs or in the same."""
+    joined, size = b"\0".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(size + 1) - size - 1
+    symbols = np.frombuffer(joined + b"\0\0", np.uint8).astype(np.uint16) + 2
+    symbols[begin + size] = 1
+    symbols[-1] = 0
+    places, group = shared_groups(symbols, least)
+    several = np.bincount(group) > 1
+    places, group = places[several[group]], group[several[group]]
+    run = np.searchsorted(begin, places, "right") - 1
+    offset = places - begin[run]
+    window = offset + least <= size[run]
+    group, run, offset = group[window], run[window], offset[window]
+    place = start[run] + offset
+    order = np.lexsort((place, doc[run], group))
+    group, run, offset, place = group[order], run[order], offset[order], place[order]
+    head = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), np.arange(len(group)), 0))
+    late = (doc[run] != doc[run[head]]) | (place != place[head])
+    run, offset = run[late], offset[late]
+    order = np.lexsort((offset, run))
+    run, offset = run[order], offset[order]
+    new = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (offset[1:] > offset[:-1] + least))) if len(run) else np.zeros(0, np.int64)
+    length = offset[np.append(new[1:], len(run)) - 1] + least - offset[new] if len(run) else np.zeros(0, np.int64)
+    return name[run[new]], offset[new], length
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
