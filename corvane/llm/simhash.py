@@ -122,8 +122,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 2, scratch: Scratch
     texts = docs.select("text", *(c.alias(n) for n, c in order.items()))
     each = scratch.table(fingerprints(texts, shingle))
     # Equal texts are one: their sets are equal.
-    texts = texts.join(each.groupBy("_hash").agg(F.min("_did").alias("_did"), F.min("fp").alias("doc_id")), ["_hash", "_did"]).select("doc_id", "text")
-    further = lambda found: similar_links(texts, lambda t: text_hashes(t, shingle), found, scratch)
+    firsts = each.groupBy("_hash").agg(F.min("_did").alias("doc_id"), F.min("fp").alias("fp")).withColumnRenamed("_hash", "hash")
+    texts = texts.select(F.col("_did").alias("doc_id"), F.col("_hash").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    further = lambda found: similar_links(texts, firsts, shingle, found, scratch)
     first = each.groupBy("fp").agg(F.min(F.struct("_did", "_hash")).alias("first")).join(_rooted(each, bits, scratch, further), "fp")
     keepers = first.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     return docs.withColumns(order).join(keepers, list(order), "left_semi").dropDuplicates(list(order)).drop(*order)
