@@ -4,13 +4,13 @@ The classifier is fitted on a bounded sample of labelled rows (`sample_rows`, th
 calibrated on a held-out quarter of it; counts, scores and thresholds cover every row and every whole text.
 
 Cases: a null text has no words and fails the base rules. A null id stays null. Repeated rows are judged each, alike.
-Of several labels of one id the least counts; null labels are ignored. Without labelled rows of both classes the
+Of several labels or texts of one id the least counts; null labels are ignored. Without labelled rows of both classes the
 classifier keeps every document. An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,7 +113,7 @@ class Model:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        rows = {"quality": batch.column("quality"), "at": [], "value": []}
+        rows = {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "at": [], "value": []}
         for text in batch.column("text").to_pylist():
             x = np.zeros(BUCKETS)
             for bucket, _ in Texts([text]).grams():
@@ -121,48 +121,109 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(x)
             rows["at"].append(at.astype(np.int16))
             rows["value"].append(x[at].astype(np.float32))
-        kinds = [("quality", pa.int32()), ("at", pa.list_(pa.int16())), ("value", pa.list_(pa.float32()))]
+        kinds = [("doc_id", pa.int64()), ("quality", pa.int32()), ("at", pa.list_(pa.int16())), ("value", pa.list_(pa.float32()))]
         yield pa.RecordBatch.from_pydict(rows, pa.schema(kinds))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = 100) -> Model:
+class Examples:
+    """Rows of sparse features by id, in pieces, so that wide copies are only made of one at a time."""
+
+    def __init__(self, got: pa.Table, piece: int = 256):
+        self.pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (features of each row, features, values)
+        order = np.argsort(got["doc_id"].to_numpy())
+        for i in range(0, len(order), piece):
+            part = got.take(order[i : i + piece]).combine_chunks()
+            at, value = (part[c].chunk(0) for c in ("at", "value"))
+            self.pieces.append((np.diff(at.offsets.to_numpy()), at.flatten().to_numpy(), value.flatten().to_numpy().copy()))
+        self.labels, self.ids = (got[c].to_numpy()[order] for c in ("quality", "doc_id"))
+        self.scale = np.sqrt(sum(np.bincount(at, value**2, BUCKETS) for _, at, value in self.pieces) / max(1, len(order))) + 1e-3
+        for _, at, value in self.pieces:  # rare features count less than frequent ones
+            value /= self.scale[at].astype(np.float32)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out, w = [], w.astype(np.float32)
+        for sizes, at, value in self.pieces:
+            some, sums = sizes > 0, np.zeros(len(sizes))
+            if len(at):
+                sums[some] = np.add.reduceat(w[at] * value, (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+            out.append(sums)
+        return np.concatenate(out)
+
+    def transposed(self, error: np.ndarray) -> np.ndarray:
+        out, first = np.zeros(BUCKETS), 0
+        for sizes, at, value in self.pieces:
+            out += np.bincount(at, np.repeat(error[first : first + len(sizes)].astype(np.float32), sizes) * value, BUCKETS)
+            first += len(sizes)
+        return out
+
+
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, better: Callable[[np.ndarray], float], memory: int = 8) -> np.ndarray:
+    """Limited-memory quasi-Newton steps; ends early once `better` (a held-out loss) has risen in three steps. Returns
+    where that was least."""
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    (value, slope), best, risen = loss(x), (better(x), x), 0
+    for _ in range(steps):
+        move, back = -slope, []
+        for s, y, r in reversed(pairs):
+            back.append(r * (s @ move))
+            move = move - back[-1] * y
+        if pairs:
+            move = move * ((pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]))
+        for (s, y, r), k in zip(pairs, reversed(back)):
+            move = move + (k - r * (y @ move)) * s
+        size, down = (1.0 if pairs else min(1.0, 1 / (np.abs(slope).sum() + 1e-12))), slope @ move
+        for _ in range(12):
+            new = x + size * move
+            new_value, new_slope = loss(new)
+            if new_value <= value + 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            break
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y, 1 / (s @ y))]
+        x, value, slope = new, new_value, new_slope
+        now = better(x)
+        best, risen = ((now, x), 0) if now < best[0] else (best, risen + 1)
+        if risen == 3:
+            break
+    return best[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, steps: int = 30) -> Model:
     """Fits on at most `sample_rows` labelled documents; the sample's size does not grow with the tables."""
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+        .join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality")
-    got = rows.mapInArrow(_features, "quality int, at array<smallint>, value array<float>").toArrow()
-    y = got["quality"].to_numpy().astype(float)
-    if len(set(y)) < 2:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))  # ids of several rows
+    got = rows.mapInArrow(_features, "doc_id long, quality int, at array<smallint>, value array<float>").toArrow()
+    if len(set(got["quality"].to_pylist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 30.0)
-    parts, first = [], 0  # (rows, bucket, value) of each batch that came: wide copies are only made of one at a time
-    for at, value in zip(got["at"].chunks, got["value"].chunks):
-        row = np.repeat(np.arange(first, first + len(at), dtype=np.int32), np.diff(at.offsets.to_numpy()))
-        parts.append((row, at.flatten().to_numpy(), value.flatten().to_numpy()))
-        first += len(at)
+    examples = Examples(got)
     del got
-    scale = np.sqrt(sum(np.bincount(at, value**2, BUCKETS) for _, at, value in parts) / len(y)) + 1e-3
-    # Rare features count less than frequent ones.
-    parts = [(row, at, value / scale[at].astype(np.float32)) for row, at, value in parts]
-
-    def dot(w: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(row, w[at] * value, len(y)) for row, at, value in parts)
-
-    # A quarter is held out for calibration; dealt by content, not by the order of arrival.
-    deal = dot(np.ones(BUCKETS)).argsort(kind="stable").argsort() % 4 == 0
-    train, weight = ~deal, np.where(y > 0, 0.5 / max(1, y[~deal].sum()), 0.5 / max(1, (1 - y[~deal]).sum()))
-    w, b, m, v = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(dot(w) + b, -30, 30)))
-        error = np.where(train, (p - y) * weight, 0)
-        slope = sum(np.bincount(at, error[row] * value, BUCKETS) for row, at, value in parts)
-        grad = np.append(slope + 1e-4 * w, error.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    score = dot(w)[deal]
+    y = examples.labels.astype(float)
+    # A quarter is held out for calibration and to end the fit.
+    deal = mix(examples.ids.view(np.uint64)).argsort(kind="stable").argsort() % 4 == 0
+    weigh = lambda mine: np.where(mine, np.where(y > 0, 0.5 / max(1, y[mine].sum()), 0.5 / max(1, (1 - y[mine]).sum())), 0)
+    train, aside = weigh(~deal), weigh(deal)
+    cost = lambda z, weight: (weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum()
+    score = np.zeros(len(y))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        score[:] = examples.dot(x[:-1]) + x[-1]
+        error = train * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y)
+        return cost(score, train) + 0.5e-4 * (x[:-1] @ x[:-1]), np.append(examples.transposed(error) + 1e-4 * x[:-1], error.sum())
+
+    # The held-out loss is asked for right after the loss at the same place, so the scores are at hand.
+    x = minimise(loss, np.zeros(BUCKETS + 1), steps, lambda x: cost(score, aside))
+    w = x[:-1]
+    score = examples.dot(w)[deal]
     # Platt's targets keep the two parameters finite where the classes are separable.
     good = y[deal]
     target = np.where(good > 0, (good.sum() + 1) / (good.sum() + 2), 1 / ((1 - good).sum() + 2))
@@ -172,11 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, step
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * theta)
         theta -= move * min(1, 1 / (np.abs(move).max() + 1e-9))  # short steps, so that it can't run away
-    return Model(w / scale, float(theta[0] / spread), float(theta[1] - theta[0] * middle / spread))
+    return Model(w / examples.scale, float(theta[0] / spread), float(theta[1] - theta[0] * middle / spread))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text, ...) with the counts, base_failed, the calibrated probability and kept added."""
+    """(doc_id, text, ...) with the counts, base_failed, the calibrated probability and kept added; columns of these names
+    are replaced."""
+    docs = docs.drop(*COUNTS, "base_failed", "probability", "kept")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = Texts([t or "" for t in batch.column("text").to_pylist()])

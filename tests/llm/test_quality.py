@@ -49,6 +49,20 @@ def test_held_out_accuracy_and_query(spark, tmp_path):
     assert sum(r.kept == (r.doc_id % 3 > 0) for r in later) >= 0.97 * len(later)
 
 
+def test_fit_is_stable_and_takes_labels_of_documents_only(spark):
+    texts = labelled()
+    docs = id_text(documents(spark, texts).union(documents(spark, ["another text of an id"] * 3, first=4)))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(len(texts))] + [(10**6 + i, 1) for i in range(500)], "doc_id long, quality int")
+    one, two = (quality.fit(d, labels, sample_rows=100) for d in (docs, docs.repartition(7)))
+    assert (one.weights == two.weights).all() and one.weights.any() and (one.slope, one.offset) == (two.slope, two.offset)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "a b " * 30, 5, "x"), (1, None, None, None)], "doc_id long, text string, n_words int, kept string")
+    rows = quality.judge(docs, quality.Model(quality.np.zeros(quality.BUCKETS), 0.0, 30.0)).collect()
+    assert {(r.doc_id, r.n_words, r.kept) for r in rows} == {(None, 60, False), (1, 0, False)}
+
+
 def test_empty_tables(spark):
     docs = id_text(documents(spark, []))
     assert quality.judge(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
