@@ -1,7 +1,10 @@
 """Main text of web pages: marked-up structure first, then a suffix array over the token streams of each host.
 
-A page is cut into blocks of text. Blocks inside menus, headers, footers, sidebars, forms, notices, adverts and reader
-comments go by their element, role or class. If the page marks its article, the article's other blocks are the text.
+A page is parsed once and cut into blocks of text. Blocks inside menus, headers, footers, sidebars, forms, notices,
+adverts and reader comments are left out by their element, role, or class or id of which each word says so. If the page
+marks its main part, that is the text (only its articles, where they hold most of it), else its articles are. A main
+part or article that stands within something left out counts where there is no other.
+
 The remaining blocks, those outside any article, form the page's token stream. Streams are concatenated by host; a
 string of LEAST tokens that stands on two distinct pages of the host is boilerplate. Where a page marks no article, its
 text is what boilerplate does not cover: the unique runs. (Marked articles are not judged by repetition: two pages may
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import read, slices
+from corvane.llm.common import Scratch, read, slices
 from corvane.llm.segments import mix, segment_hashes
 from corvane.llm.suffix import shared_groups
 from corvane.llm.urls import host_of
@@ -35,7 +38,7 @@ LEAST = 12  # tokens
 BUCKET_ROWS = 100_000
 HELD_RUNS = 100_000  # equal runs that a task merges before it sends them
 #: Elements whose content is no text, that hold no text, that end a block, and that are left out.
-RAW = ("script", "style", "title", "template", "noscript", "iframe", "svg", "textarea", "select", "object", "canvas", "audio", "video", "math")
+RAW = ("script", "style", "title", "template", "noscript", "iframe", "svg", "textarea", "select", "object", "canvas", "audio", "video")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
@@ -56,7 +59,23 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)[^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Elements whose id may say that they are left out, and classes of an article that is a comment.
+NAMED = {"div", "ol", "section", "span", "table", "ul"}
+COMMENT_CLASSES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+
+
+def attributes(written: str) -> dict[str, str]:
+    """By full name in lower case, the first of each; one without a value has an empty one."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTR.findall(written):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def _says_out(name: str, words: set[str] = OUT_CLASSES) -> bool:
+    """Whether each word of a class or id is one of things left out: cookie-notice, but not no-sidebar or social-history."""
+    return all(w in words for w in re.split(r"[-_]+", name.strip("-_")))
 
 
 def _left_out(tag: str, attrs: dict[str, str]) -> bool:
@@ -64,28 +83,37 @@ def _left_out(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    return tag not in ("html", "body", "main") and not OUT_CLASSES.isdisjoint(re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return False
+    words = COMMENT_CLASSES if tag == "article" else OUT_CLASSES
+    return any(_says_out(c, words) for c in attrs.get("class", "").split()) or (tag in NAMED and bool(attrs.get("id")) and _says_out(attrs["id"]))
 
 
-ARTICLE, MAIN, OPEN, GONE = 0, 1, 2, 3
+ARTICLE, MAIN, OPEN, GONE, MAIN_ARTICLE, HIDDEN_ARTICLE = range(6)
 HELD = {"article", "body", "div", "header", "main", "ol", "section", "table", "ul"}  # elements that others may be closed by
 
 
 def blocks(page: str) -> Iterator[tuple[int, str]]:
-    """(kind, text) of the page's blocks in order: in an article, in the main part, outside both, or left out."""
+    """(kind, text) of the page's blocks in order: in an article, in the main part, in an article of it, outside all, left
+    out, or in an article or main part within something left out."""
     stack: list[tuple[str, bool, bool]] = []  # (tag, left out, article or main)
     parts: list[str] = []
-    heading = False
 
     def block() -> Iterator[tuple[int, str]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             tags = [t for t, *_ in stack]
-            if any(gone for _, gone, _ in stack) or ("header" in tags and not (heading and "article" in tags)):
+            main = next((i for i, s in enumerate(stack) if s[2]), -1)
+            article = tags.index("article") if "article" in tags else -1
+            inside = main if article < 0 else article if main < 0 else min(main, article)
+            gone = [i for i, s in enumerate(stack) if s[1] or (s[0] == "header" and not 0 <= inside < i)]
+            if gone and (inside < 0 or gone[-1] >= inside):
                 yield GONE, text
+            elif inside < 0:
+                yield OPEN, text
             else:
-                yield ARTICLE if "article" in tags else MAIN if any(m for *_, m in stack) else OPEN, text
+                yield HIDDEN_ARTICLE if gone else MAIN_ARTICLE if 0 <= main < article else ARTICLE if main < 0 else MAIN, text
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -102,8 +130,6 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
         if is_block:
             yield from block()
         if m["end"] or m["end2"]:
-            if tag in HEADINGS:
-                heading = False
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
                     yield from block()
@@ -114,12 +140,10 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
             continue
         if stack and is_block and (stack[-1][0] == "p" or (stack[-1][0] in CLOSED_BY_NEXT and stack[-1][0] == tag)):
             stack.pop()
-        if tag in HEADINGS:
-            heading = True
         if tag == "body":
             stack[:] = [s for s in stack if s[0] != "head"]
         written = m["attrs"] or ""
-        attrs = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in _ATTR.findall(written)} if written else {}
+        attrs = attributes(written) if written else {}
         gone = _left_out(tag, attrs)
         body = attrs.get("itemprop") == "articlebody"
         if (gone or body or tag in HELD or attrs.get("role") == "main") and not written.rstrip().endswith("/"):
@@ -130,25 +154,21 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
     yield from block()
 
 
-def marked_text(page: str) -> str | None:
+def marked_text(found: list[tuple[int, str]]) -> str | None:
     """The text of a page that marks its article or main part; None of one that marks none."""
-    found = list(blocks(page))
-    for kind in (ARTICLE, MAIN):
-        texts = [t for k, t in found if k == kind]
-        if texts:
-            return "\n\n".join(texts)
-    return None
-
-
-def is_marked(page: str) -> bool:
-    """Whether marked_text finds one; it reads on only until it does."""
-    return any(kind in (ARTICLE, MAIN) for kind, _ in blocks(page))
+    size = {kind: sum(len(t) for k, t in found if k == kind) for kind in (ARTICLE, MAIN, MAIN_ARTICLE, HIDDEN_ARTICLE)}
+    if size[MAIN_ARTICLE] + size[MAIN]:
+        chosen = (MAIN_ARTICLE,) if size[MAIN_ARTICLE] >= size[MAIN] else (MAIN, MAIN_ARTICLE)
+    else:
+        chosen = (ARTICLE,) if size[ARTICLE] else (HIDDEN_ARTICLE,)
+    texts = [t for k, t in found if k in chosen]
+    return "\n\n".join(texts) if texts else None
 
 
-def _stream(host: str, found: list[tuple[int, str]]) -> tuple[list[str], np.ndarray]:
+def _stream(host: str, outside: list[dict]) -> tuple[list[str], np.ndarray]:
     """The tokens outside articles, and their hashes with the host's in them."""
     seed = xxhash.xxh64_intdigest(host.encode())
-    tokens = [w for k, t in found if k in (OPEN, GONE) for w in t.split(" ")]
+    tokens = [w for block in outside for w in block["text"].split(" ")]
     return tokens, np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in tokens), np.uint64, len(tokens))
 
 
@@ -161,14 +181,24 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(least)) + LEAST - 1, least[start]
 
 
-def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, str]]]]:
-    for batch in slices(batches, "html"):
-        for row in batch.to_pylist():
-            yield row, list(blocks(row["html"]))
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html) to (page_id, url, host, page_key, text, outside): the marked text or null, and the blocks
+    outside articles, each with whether it is left out anyway."""
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host")).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
+    kinds = pa.list_(pa.struct([("gone", pa.bool_()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            found = [list(blocks(h)) for h in batch.column("html").to_pylist()]
+            outside = [[{"gone": k == GONE, "text": t} for k, t in one if k in (OPEN, GONE)] for one in found]
+            columns = [*(batch.column(c) for c in ("page_id", "url", "host", "page_key")), pa.array(map(marked_text, found), pa.string()), pa.array(outside, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page_key", "text", "outside"])
+
+    return pages.mapInArrow(run, "page_id long, url string, host string, page_key long, text string, outside array<struct<gone: boolean, text: string>>")
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """(page_id, page_hash, host, html) to (run long, covered binary): which tokens of a run stand on several pages."""
+    """parsed() to (run long, covered binary): which tokens of a run stand on several pages."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
@@ -178,8 +208,8 @@ def boilerplate(pages: DataFrame) -> DataFrame:
             anchor = pa.array([v[2] for v in held.values()], pa.int64())
             return pa.RecordBatch.from_arrays([anchor, pa.array(held, pa.binary()), least, most], ["anchor", "tokens", "least", "most"])
 
-        for row, found in _page_rows(batches):
-            _, tokens = _stream(row["host"], found)
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            _, tokens = _stream(row["host"], row["outside"])
             for a, b, anchor in zip(*_runs(tokens)):
                 v = held.setdefault(tokens[a:b].tobytes(), [row["page_key"], row["page_key"], int(mix(anchor[None]).view(np.int64)[0])])
                 v[0], v[1] = min(v[0], row["page_key"]), max(v[1], row["page_key"])
@@ -188,7 +218,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
                 held.clear()
         yield packed()
 
-    runs = pages.mapInArrow(send, "anchor long, tokens binary, least long, most long")
+    runs = pages.select("page_key", "host", "outside").mapInArrow(send, "anchor long, tokens binary, least long, most long")
     n = max(8, (pages.count() * 12) // BUCKET_ROWS)
     bucketed = runs.select(F.pmod("anchor", F.lit(n)).cast("int").alias("bucket"), "tokens", "least", "most")
 
@@ -223,52 +253,42 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(judge, "run long, covered binary")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text string)."""
-    pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            text = pa.array([marked_text(h) for h in batch.column("html").to_pylist()], pa.string())
-            out = pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], ["page_id", "url", "text"])
-            yield out.filter(out.column("text").is_valid())
+    scratch = scratch or Scratch(pages.sparkSession)
+    pages = scratch.table(parsed(pages))
+    marked, unmarked = pages.where("text is not null").select("page_id", "url", "text"), pages.where("text is null").drop("text")
 
     def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, found in _page_rows([batch.filter(pa.array([not is_marked(h) for h in batch.column("html").to_pylist()], pa.bool_()))]):
-                tokens = _stream(row["host"], found)[1]
+            for row in batch.to_pylist():
+                tokens = _stream(row["host"], row["outside"])[1]
                 start, end, _ = _runs(tokens)
                 key = pa.array(np.full(len(start), row["page_key"]), pa.int64())
                 yield pa.RecordBatch.from_arrays([key, pa.array(segment_hashes(tokens, start, end).view(np.int64)), pa.array(start, pa.int64())], ["page_key", "run", "start"])
 
-    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html"):
-            yield batch.filter(pa.array([not is_marked(h) for h in batch.column("html").to_pylist()], pa.bool_()))
-
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, host, spans in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "spans"))):
-                found = list(blocks(page))
-                covered = np.zeros(len(_stream(host, found)[0]), bool)
+            for host, outside, spans in zip(*(batch.column(c).to_pylist() for c in ("host", "outside", "spans"))):
+                covered = np.zeros(len(_stream(host, outside)[0]), bool)
                 for s in spans or ():
                     mask = np.frombuffer(s["covered"], bool)
                     covered[s["start"] : s["start"] + len(mask)] |= mask
                 at, kept = 0, []
-                for kind, text in found:
-                    words = text.split(" ")
+                for block in outside:
+                    words = block["text"].split(" ")
                     left = [w for w, c in zip(words, covered[at : at + len(words)]) if not c]
                     at += len(words)
-                    if kind == OPEN and left:
+                    if left and not block["gone"]:
                         kept.append(" ".join(left))
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    schema = "page_id long, url string, text string"
-    covers = pages.mapInArrow(open_runs, "page_key long, run long, start long").distinct().join(boilerplate(pages), "run")
+    covers = unmarked.mapInArrow(open_runs, "page_key long, run long, start long").distinct().join(boilerplate(pages), "run")
     spans = covers.groupBy("page_key").agg(F.collect_list(F.struct("start", "covered")).alias("spans"))
-    rest = pages.mapInArrow(unmarked, pages.schema).join(spans, "page_key", "left").select("page_id", "url", "html", "host", "spans")
-    return pages.mapInArrow(marked, schema).union(rest.mapInArrow(unique_runs, schema))
+    rest = unmarked.join(spans, "page_key", "left").select("page_id", "url", "host", "outside", "spans")
+    return marked.union(rest.mapInArrow(unique_runs, "page_id long, url string, text string"))
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ SCHEMA = "page_id long, url string, html string, text string"
 
 CASES = [
     ("<article><h1>T</h1><p>a &amp; b&nbsp;c<br>d<p>e <b>f</b>g</article><footer>x</footer>", "T\n\na & b c d\n\ne fg"),
-    ("<body><header>H</header><nav><ul><li>m</ul></nav><article><header><h1>T</h1><p>by x</p></header><p>a</p><aside>s</aside><form>f</form><section class='comments'><p>c</p></section></article>", "T\n\na"),
+    ("<body><header>H</header><nav><ul><li>m</ul></nav><article><header><h1>T</h1><p>by x</p></header><p>a</p><aside>s</aside><form>f</form><section class='comments'><p>c</p></section></article>", "T\n\nby x\n\na"),
     ("<main><p>a<p>b</main><div>c</div>", "a\n\nb"),
     ("<head><title>t</title><body><p>a<script>var x='</p>'</script>b</p><div class='cookie-notice'>c</div><p>d", "ab\n\nd"),
     ("<article><p class=ad>x<p>a</article>", "a"),
@@ -23,6 +23,17 @@ CASES = [
     ("<p><b>T.<br><p>a", "T.\n\na"),
     ("<article><p>" + "w " * 30000 + "</article>", ("w " * 30000).strip()),
     ("<script>never closed", ""),
+    ('<article><h2 id="related-work">a</h2><h2 id="notice-period">b</h2><h3 class="social">c</h3><div class="social-history">d</div>', "a\n\nb\n\nc\n\nd"),
+    ('<article><p title="a hidden gem">a<p data-id="menu">b<p data-role=navigation aria-hidden=false>c<p hidden>d', "a\n\nb\n\nc"),
+    ("<article><header><h1>T</h1><p>Standfirst.</p></header><p>a</article>", "T\n\nStandfirst.\n\na"),
+    ("<article>teaser</article><main>body</main>", "body"),
+    ("<main><h1>all</h1><article>the long article</article></main><article>x</article>", "the long article"),
+    ("<main><article>card</article><p>a long body</main>", "card\n\na long body"),
+    ("<div class='layout no-sidebar'><article>a</article></div>", "a"),
+    ("<div class='page has-sidebar elementor-widget'><article class='post social'>a<math>x = y</math></article></div>", "ax = y"),
+    ("<form><nav>n</nav><article>a<aside>s</aside></article></form>", "a"),
+    ("<div class='sidebar'><article>teaser</article></div><article>a</article>", "a"),
+    ("<article><ul id=related-comments><li>r</ul><div class='newsletter-signup'>n</div><p>a", "a"),
 ]
 
 
