@@ -2,8 +2,9 @@
 
 The first filter of a cascade encodes the listed keys, the second those unlisted keys of the corpus that pass it, the
 third the listed keys that pass the second, and so on, until no key passes wrongly. Over the key universe that it was
-built from, a cascade answers exactly, and no row is joined. Each level's bits are set by a Spark aggregate and are
-known in number before they are gathered: a cascade of over MAX_BITS is not built, and membership is a semi-join then.
+built from, a cascade answers exactly, and no row is joined. Each level's bits are set by a Spark aggregate. Keys are
+dealt by their hash over as many cascades as keep each under about MAX_BITS, which bounds what the driver gathers and a
+task holds; each judges the rows of its own keys.
 
 Cases: a null url, or one without "://", has an empty host and path, which no rule fits. Null ids stay null; repeated
 rows are judged each; ties between rules cannot occur, as rules differ. An empty table gives an empty one.
@@ -12,8 +13,9 @@ rows are judged each; ties between rules cannot occur, as rules differ. An empty
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, read
 
-MAX_BITS = 1 << 28  # 32 MB in every task
+MAX_BITS = 1 << 28  # of a cascade, about: 32 MB in every task
 #: Rule, verdict.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: A host that has one of these labels is listed.
@@ -108,42 +110,50 @@ def _passing(df: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def build_cascade(universe: DataFrame, scratch: Scratch) -> Cascade | None:
-    """universe: (key, listed boolean), each key once. None if the bits that it needs pass MAX_BITS."""
-    universe = scratch.table(_hashed(universe, "key"))
+def rate_of(listed: int, others: int) -> float:
+    """Of the first level: it lets through about as many unlisted keys as there are listed ones."""
+    return min(0.5, max(listed, 1) * math.sqrt(0.5) / max(others, 1))
+
+
+def build_cascade(universe: DataFrame, scratch: Scratch) -> Cascade:
+    """universe: (_h1, _h2, listed boolean), each key once."""
     include, exclude = universe.where("listed").select("_h1", "_h2"), universe.where("not listed").select("_h1", "_h2")
-    n, others, total, cascade = include.count(), exclude.count(), 0, Cascade()
+    n, others, cascade = include.count(), exclude.count(), Cascade()
     while n:
-        # The first level lets through about as many unlisted keys as there are listed ones; later ones halve.
-        rate = 0.5 if cascade.levels else min(0.5, max(n, 1) * math.sqrt(0.5) / max(others, 1))
-        probes = max(1, round(math.log2(1 / rate)))
+        rate = 0.5 if cascade.levels else rate_of(n, others)  # later levels halve
+        probes, level = max(1, round(math.log2(1 / rate))), len(cascade.levels)
         bits = 64 + math.ceil(n * probes / math.log(2))
-        total += bits
-        if total > MAX_BITS:
-            return None
-        level = len(cascade.levels)
         cascade.add(bits, probes, _words(include, level, bits, probes))
         include, exclude = scratch.table(_passing(exclude, cascade, level)), include
         n = include.count()
     return cascade
 
 
+def shards_of(universe: DataFrame) -> int:
+    """How many cascades hold the universe. Levels after the first take about three times the listed keys in bits."""
+    size = universe.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("others")).head()
+    probes = max(1, round(math.log2(1 / rate_of(size.listed, size.others))))
+    return max(1, math.ceil(size.listed * (probes / math.log(2) + 5) / MAX_BITS))
+
+
 def with_membership(df: DataFrame, key: str, listed: Column, scratch: Scratch) -> DataFrame:
     """Adds `listed`: whether the row's key is a listed one. `listed` tells that of a column named key."""
-    universe = df.select(F.col(key).alias("key")).distinct().withColumn("listed", listed)
-    cascade = build_cascade(universe, scratch)
-    if cascade is None:
-        keys = universe.where("listed").select(F.col("key").alias(key), F.lit(True).alias("listed"))
-        return df.join(keys, key, "left").withColumn("listed", F.coalesce("listed", F.lit(False))).select(*df.columns, "listed")
-    names = df.columns
+    universe = scratch.table(_hashed(df.select(F.col(key).alias("key")).distinct().withColumn("listed", listed), "key"))
+    names, hashed = df.columns, _hashed(df, key)
+    shards = shards_of(universe)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array(cascade.contains(*_hashes(batch)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], [*names, "listed"])
+    def judged(cascade: Cascade) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = pa.array(cascade.contains(*_hashes(batch)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], [*names, "listed"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return _hashed(df, key).mapInArrow(run, f"{fields}, listed boolean")
+        return run
+
+    mine = lambda rows, shard: rows.where(F.pmod("_h1", F.lit(shards)) == shard) if shards > 1 else rows
+    parts = [mine(hashed, i).mapInArrow(judged(build_cascade(mine(universe, i), scratch)), f"{fields}, listed boolean") for i in range(shards)]
+    return reduce(DataFrame.union, parts)
 
 
 def judge_urls(pages: DataFrame, rules=RULES, blocked_labels=BLOCKED_LABELS) -> DataFrame:

@@ -27,13 +27,15 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     keys = [f"k{rng.random()}" for _ in range(3000)]
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys * 2)], "key string, n long")
     listed = F.xxhash64("key") % 5 == 0
-    for most in (urls.MAX_BITS, 100):  # the second is too few: a semi-join answers
+    for most in (urls.MAX_BITS, 1500):  # the second is too few for one cascade
         monkeypatch.setattr(urls, "MAX_BITS", most)
         got = urls.with_membership(df, "key", listed, Scratch(spark)).withColumn("want", listed)
         assert got.where("listed <> want").count() == 0 and got.count() == 6000
-    monkeypatch.undo()
-    cascade = urls.build_cascade(df.select("key").distinct().withColumn("listed", listed), Scratch(spark))
-    assert len(cascade.levels) >= 3
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    universe = urls._hashed(df.select("key").distinct().withColumn("listed", listed), "key")
+    assert urls.shards_of(universe) > 2
+    cascade = urls.build_cascade(universe, Scratch(spark))
+    assert len(cascade.levels) >= 3 and sum(bits for bits, _, _ in cascade.levels) < 1500 * urls.shards_of(universe)
 
 
 def test_empty_and_unlisted(spark):
