@@ -1,4 +1,4 @@
-"""python -m corvane.cli audit|prepare|report ...: the batch jobs by configuration file."""
+"""python -m corvane.cli audit|prepare|evaluate|ensemble|infer|report|visualize ...: the batch jobs."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corvane import sinks
-from corvane.config import DatasetConfig, load_yaml
-from corvane.operators import audit, curate, report
+from corvane import jobs, schemas, sinks
+from corvane.config import DatasetConfig, EnsembleConfig, check_inference_arguments, load_yaml
+from corvane.operators import audit, curate
 from corvane.sources import files
 
 
@@ -20,7 +20,7 @@ def _tree(spark: SparkSession, cfg: DatasetConfig, strict: bool):
 
 def run_audit(spark: SparkSession, cfg: DatasetConfig, strict: bool = False) -> dict:
     """Writes the five audit tables and returns the counters; the tree is read and hashed once."""
-    rows = audit.routed(audit.with_hash(_tree(spark, cfg, strict)), cfg.class_map, readable=audit.looks_like_image(F.col("content")))
+    rows = audit.routed(audit.with_hash(_tree(spark, cfg, strict)), cfg.class_map, readable=audit.looks_like_image(F.col("content")), error=audit.image_fault(F.col("length"), F.col("content")))
     rows.drop("content").write.mode("overwrite").parquet(f"{cfg.audit_dir}/routed")
     rows = spark.read.parquet(f"{cfg.audit_dir}/routed")
     valid = audit.valid_files(rows)
@@ -37,15 +37,19 @@ def run_prepare(spark: SparkSession, cfg: DatasetConfig, force: bool = False, st
     rows.drop("content").write.mode("overwrite").parquet(f"{cfg.manifest_dir}/hashed")
     rows = spark.read.parquet(f"{cfg.manifest_dir}/hashed")
     if rows.isEmpty():
-        raise ValueError("No valid images found.")
+        raise ValueError(f"{cfg.raw_root} holds no file of a known class")
     sinks.write_csv(curate.conflicts(rows), f"{cfg.audit_dir}/cross_class_duplicates")
     curate.curated(rows, cfg.exclude_cross_class_duplicates)  # raises where none may be left out
     curate.check_classes(curate.quotas(curate.clean_groups(rows), cfg.split))
     split = curate.with_class_index(curate.split_manifest(rows, cfg.split, cfg.seed), curate.class_index(spark, cfg.class_map))
-    named = curate.with_processed_path(split, prefix=len(cfg.raw_root) + 8)
+    named = curate.with_processed_path(split)
     path = f"{cfg.manifest_dir}/{cfg.dataset_name}"
     sinks.write_manifest(named.select("src_path", "raw_rel_path", "class_code", "class_name", "sha256", "split", "class_idx", "processed_rel_path"), path)
     manifest = spark.read.parquet(path)
+    columns = schemas.MANIFEST.names
+    sinks.write_sorted_csv(manifest.select(*columns), f"{path}_all.csv", ["split", "class_name", "src_path"])
+    for split in ("train", "val", "test"):
+        sinks.write_sorted_csv(manifest.where(F.col("split") == split).select(*columns), f"{path}_{split}.csv", ["class_name", "src_path"])
     sinks.materialise(manifest, cfg.processed_root, cfg.copy_mode)
     sinks.save_json(cfg.class_to_idx, f"{cfg.manifest_dir}/class_to_idx.json")
     ratios = {"train": cfg.split.train, "val": cfg.split.val, "test": cfg.split.test}
@@ -54,36 +58,66 @@ def run_prepare(spark: SparkSession, cfg: DatasetConfig, force: bool = False, st
 
 
 def run_report(spark: SparkSession, predictions: str, names: list[str], out: str) -> dict:
-    """Confusion matrix, class metrics and summary of a table of predictions."""
-    cells = report.confusion(spark.read.parquet(predictions), len(names))
-    classes = report.per_class(cells)
-    sinks.write_small_csv(report.confusion_wide(cells, names).orderBy("true_idx"), f"{out}/confusion_matrix.csv")
-    named = classes.withColumn("class", F.element_at(F.array(*map(F.lit, names)), (F.col("idx") + 1).cast("int")))
-    sinks.write_small_csv(named.orderBy("idx").select("class", *report.MEASURES, "support"), f"{out}/per_class_metrics.csv")
-    summary = report.summary(classes).head().asDict()
-    sinks.save_json(summary, f"{out}/summary.json")
-    return summary
+    """Confusion matrix, class metrics, report and summary of a table of predictions."""
+    return jobs.write_report(spark.read.parquet(predictions), names, out)
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    jobs = parser.add_subparsers(dest="job", required=True)
+    commands = parser.add_subparsers(dest="job", required=True)
     for job in ("audit", "prepare"):
-        p = jobs.add_parser(job)
+        p = commands.add_parser(job)
         p.add_argument("--config", default="configs/dataset.yaml")
         p.add_argument("--strict", action="store_true", help="take hidden files too")
         if job == "prepare":
             p.add_argument("--force", action="store_true")
-    p = jobs.add_parser("report")
+    p = commands.add_parser("report")
     p.add_argument("--predictions", required=True)
     p.add_argument("--classes", required=True, help="class_to_idx.json")
     p.add_argument("--out", required=True)
+    for job in ("evaluate", "ensemble"):
+        p = commands.add_parser(job)
+        p.add_argument("--manifest", required=job == "evaluate", help="folder of the manifest table")
+        p.add_argument("--processed-root", required=True)
+        p.add_argument("--splits", nargs="+", default=["val", "test"])
+        if job == "evaluate":
+            p.add_argument("--run-dir", required=True)
+        else:
+            p.add_argument("--config", default="configs/ensemble.yaml")
+            p.add_argument("--normalize", action="store_true", help="divide the weights by their sum")
+    p = commands.add_parser("infer")
+    p.add_argument("--image", action="append", default=[])
+    p.add_argument("--image-dir")
+    p.add_argument("--run-dir")
+    p.add_argument("--ensemble-config")
+    p.add_argument("--output", default="outputs/inference_predictions.csv")
+    p.add_argument("--top-k", type=int, default=4)
+    p = commands.add_parser("visualize")
+    p.add_argument("--run-dir", required=True)
     args = parser.parse_args(argv)
+    if args.job == "infer":
+        check_inference_arguments([*args.image, *filter(None, [args.image_dir])], args.run_dir, args.ensemble_config, args.top_k)
     spark = SparkSession.builder.appName(f"corvane {args.job}").getOrCreate()
     if args.job == "report":
         index = files.load_json(args.classes)
         print(run_report(spark, args.predictions, sorted(index, key=index.get), args.out))
-        return
+    elif args.job == "evaluate":
+        print(jobs.evaluate(spark, [jobs.load_member(args.run_dir)], args.manifest, args.processed_root, args.splits, args.run_dir))
+    elif args.job == "ensemble":
+        raw = load_yaml(args.config)
+        cfg = EnsembleConfig.from_dict(raw)
+        out = jobs.new_run(cfg.output_root, cfg.ensemble_name, raw)
+        print(jobs.evaluate(spark, jobs.load_members(cfg), args.manifest or cfg.manifest_dir, args.processed_root, args.splits, out, args.normalize))
+    elif args.job == "infer":
+        members = [jobs.load_member(args.run_dir)] if args.run_dir else jobs.load_members(EnsembleConfig.from_dict(load_yaml(args.ensemble_config)))
+        jobs.infer(spark, members, args.image, args.image_dir, args.top_k, args.output).show(truncate=False)
+    elif args.job == "visualize":
+        print(jobs.chart_tables(spark, args.run_dir))
+    else:
+        _dataset_job(spark, args)
+
+
+def _dataset_job(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = DatasetConfig.from_dict(load_yaml(args.config))
     print(run_audit(spark, cfg, args.strict) if args.job == "audit" else run_prepare(spark, cfg, args.force, args.strict))
 

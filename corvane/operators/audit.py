@@ -23,6 +23,12 @@ def looks_like_image(content: Column) -> Column:
     return known | (head.startswith("52494646") & head.endswith("57454250"))
 
 
+def image_fault(length: Column, content: Column) -> Column:
+    """Why a file is no image, in words."""
+    head = F.concat(F.lit("no image begins with the bytes "), F.hex(F.substring(content, 1, 4)))
+    return F.when(length == 0, F.lit("empty file")).otherwise(head)
+
+
 def routed(files: DataFrame, class_map: dict[str, str], readable: Column | None = None, error: Column | None = None) -> DataFrame:
     """Adds class_code, class_name, status and error: no class is invalid, then an unreadable file is an error."""
     code = class_code(F.col("raw_rel_path"), class_map)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.config import SplitRatios
 from corvane.functions.paths import numbered_path, suffix
-from corvane.functions.ranks import ranked
+from corvane.functions.ranks import bucket_between, ranked, sampled_bounds
 
 
 def conflicting_hashes(files: DataFrame) -> DataFrame:
@@ -113,10 +113,11 @@ def with_class_index(manifest: DataFrame, index: DataFrame) -> DataFrame:
     return manifest.join(F.broadcast(index), "class_name", "left")  # one row a class
 
 
-def with_processed_path(manifest: DataFrame, prefix: int = 2) -> DataFrame:
+def with_processed_path(manifest: DataFrame, buckets: int = 128) -> DataFrame:
     """Adds processed_rel_path: a number from 1 within split and class, in the order of src_path.
 
-    `prefix`: how many first characters of src_path divide a class into ordered buckets."""
-    out = ranked(manifest, "_ordinal", ["split", "class_name"], [F.col("src_path")], F.substring("src_path", 1, prefix))
+    Ordered buckets between sampled paths divide each class, whatever the paths begin with."""
+    bounds = sampled_bounds(manifest, "src_path", buckets)
+    out = ranked(manifest, "_ordinal", ["split", "class_name"], [F.col("src_path")], bucket_between(F.col("src_path"), bounds))
     path = numbered_path(F.col("split"), F.col("class_name"), F.col("_ordinal"), suffix(F.col("raw_rel_path")))
     return out.withColumn("processed_rel_path", path).drop("_ordinal")

@@ -24,6 +24,12 @@ def confusion_wide(cells: DataFrame, names: list[str]) -> DataFrame:
     return cells.groupBy("true_idx").agg(*columns)
 
 
+def confusion_table(cells: DataFrame, names: list[str]) -> DataFrame:
+    """The same with the class's name first, in the order of the names."""
+    named = F.element_at(F.array(*map(F.lit, names)), (F.col("true_idx") + 1).cast("int")).alias("class")
+    return confusion_wide(cells, names).orderBy("true_idx").select(named, *names)
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 

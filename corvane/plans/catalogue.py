@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -37,17 +38,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+def _shared(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def _micro_sql(x: str) -> str:
     return f"CAST(floor(({x}) * 1000000 + 0.5) AS BIGINT)"
 
 
 # ---- audit ---------------------------------------------------------------------------------------------------------
 
-@query(f"WITH {FILES_SQL} SELECT src_path, class_code, class_name, sha256 FROM files")
-def audit_valid_files(spark, d) -> DataFrame:
-    return documents_as_files(spark, d).select("src_path", "class_code", "class_name", "sha256")
-
-
 @query(f'WITH {FILES_SQL} SELECT sha256, src_path AS path, "count" FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS "count" FROM files) WHERE "count" > 1')
 def audit_duplicate_files(spark, d) -> DataFrame:
     return audit.duplicate_files(documents_as_files(spark, d))
@@ -62,6 +64,12 @@ def _routed_pages(spark, d) -> DataFrame:
     return audit.routed(pages_as_files(spark, d), HOST_MAP, readable=~F.col("raw_rel_path").contains("?"))
 
 
+@query(f"""WITH {PAGES_SQL} SELECT src_path, class_code, CASE class_code WHEN 'b' THEN 'blog' WHEN 'm' THEN 'mobile' ELSE 'web' END AS class_name, sha256
+  FROM routed WHERE class_code IS NOT NULL AND NOT contains(raw_rel_path, '?')""")
+def audit_valid_files(spark, d) -> DataFrame:
+    return audit.valid_files(_routed_pages(spark, d))
+
+
 @query(f"WITH {PAGES_SQL} SELECT src_path AS path, 'missing_class_directory' AS reason FROM routed WHERE class_code IS NULL")
 def audit_invalid_files(spark, d) -> DataFrame:
     return audit.invalid_files(_routed_pages(spark, d))
@@ -174,19 +182,30 @@ def processed_rel_path(spark, d) -> DataFrame:
 
 @query(f'{_SPLIT} SELECT src_path, text, split FROM manifest JOIN documents ON CAST(doc_id AS VARCHAR) = src_path')
 def manifest_csv_roundtrip(spark, d) -> DataFrame:
-    import uuid
-
     from corvane import sinks
     from corvane.sources.files import CSV
 
     texts = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("src_path"), "text")
     df = _manifest(spark, d).select("src_path", "split").join(texts, "src_path").select("src_path", "text", "split")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/roundtrip-{uuid.uuid4().hex}"
+    path = _shared(spark, "roundtrip")
     sinks.write_csv(df, path)
     return spark.read.options(**CSV).schema(df.schema).csv(path)
 
 
+@query(f"""{_SPLIT} SELECT src_path, src_path || '.TXT' AS raw_rel_path, class_code, class_name, sha256, split, CAST({_INDEX} AS BIGINT) AS class_idx,
+  split || '/' || class_name || '/' || class_name || '_' || format('{{:05d}}', row_number() OVER (PARTITION BY split, class_name ORDER BY src_path)) || '.txt' AS processed_rel_path
+  FROM manifest""")
+def manifest_read_back(spark, d) -> DataFrame:
+    """The whole manifest, written in order as CSV and read by its schema."""
+    from corvane import schemas, sinks
+    from corvane.sources.files import read_manifest
+
+    indexed = curate.with_class_index(_manifest(spark, d), curate.class_index(spark, CLASS_MAP))
+    path = _shared(spark, "manifest")
+    sinks.write_sorted_csv(curate.with_processed_path(indexed).select(*schemas.MANIFEST.names), path, ["split", "class_name", "src_path"])
+    return read_manifest(spark, path)
+
+
 @query()
 def binary_file_hash(spark, d) -> DataFrame:
     from corvane.sources.files import scan_tree

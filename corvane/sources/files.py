@@ -29,17 +29,26 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_listed(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
-    """The same for a folder that driver and executors share, hidden files included: the driver lists, tasks read."""
-    names = [str(p) for p in Path(root).rglob("*") if p.is_file()]
+    """The same for a folder that driver and executors share, hidden files included: the driver lists the folder's own
+    entries only, tasks walk those below and read."""
+    tops = [(str(p),) for p in Path(root).iterdir()]
     schema = T.StructType.fromDDL("src_path string, raw_rel_path string, length bigint, content binary")
 
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for top in map(Path, frame["top"]):
+                found = [str(p) for p in top.rglob("*") if p.is_file()] if top.is_dir() else [str(top)]
+                for at in range(0, len(found), 10_000):
+                    yield pd.DataFrame({"src_path": found[at : at + 10_000]})
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name in frame["src_path"]:
                 data = Path(name).read_bytes()
                 yield pd.DataFrame([(name, str(Path(name).relative_to(root)), len(data), data)], columns=schema.names)
 
-    return spark.createDataFrame([(n,) for n in names], "src_path string").repartition(partitions).mapInPandas(read, schema)
+    folders = spark.createDataFrame(tops, "top string").repartition(max(1, min(partitions, len(tops))))
+    return folders.mapInPandas(walk, "src_path string").repartition(partitions).mapInPandas(read, schema)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -58,8 +67,20 @@ def read_reports(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select(split.alias("split"), *rows.columns)
 
 
+def read_confusion(spark: SparkSession, path: str) -> DataFrame:
+    """A confusion matrix as (class, predicted, n); its columns are the classes."""
+    wide = spark.read.options(**CSV).csv(path)
+    names = [c for c in wide.columns if c.lstrip("\ufeff") != "class"]
+    first = next(c for c in wide.columns if c not in names)
+    return wide.select(F.col(f"`{first}`").alias("class"), *(F.col(f"`{n}`").cast("bigint").alias(n) for n in names)).unpivot(["class"], names, "predicted", "n")
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**CSV).schema(schemas.HISTORY).csv(path)
+    """The columns that the file has, by name; what the schema does not name is a double."""
+    rows = spark.read.options(**CSV).csv(path)
+    kinds = {f.name: f.dataType for f in schemas.HISTORY}
+    bare = lambda c: c.lstrip("\ufeff")
+    return rows.select(*(F.col(f"`{c}`").cast(kinds.get(bare(c), "double")).alias(bare(c)) for c in rows.columns))
 
 
 def load_json(path: str | Path):

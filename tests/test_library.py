@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corvane import cli, sinks
+from corvane import cli, jobs, sinks
 from corvane.config import DatasetConfig, EnsembleConfig, SplitRatios, check_inference_arguments
 from corvane.functions import paths, vectors
 from corvane.operators import audit, curate, report, scoring, training
@@ -161,7 +161,7 @@ def test_prepare_of_a_tree(spark, tmp_path):
 def test_prepare_of_nothing(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "x.jpg").write_bytes(JPEG)
-    with pytest.raises(ValueError, match="No valid images"):
+    with pytest.raises(ValueError, match="no file of a known class"):
         cli.run_prepare(spark, config(tmp_path))
 
 
@@ -175,6 +175,89 @@ def test_reports_as_files(spark, tmp_path):
     assert {(r.split, r["class"], r.support) for r in got} == {(s, c, n) for s in ("val", "te st") for c, n in (("x", 2), ("y", 1))}
 
 
+def test_confusion_file_names_its_classes(spark, tmp_path):
+    pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "true_idx long, pred_idx long")
+    pairs.write.parquet(str(tmp_path / "p"))
+    cli.run_report(spark, str(tmp_path / "p"), ["x", "y"], str(tmp_path / "m"))
+    assert (tmp_path / "m/confusion_matrix.csv").read_text(encoding="utf-8-sig").split() == ["class,x,y", "x,1,1", "y,0,1"]
+    got = {tuple(r) for r in files.read_confusion(spark, str(tmp_path / "m/confusion_matrix.csv")).collect()}
+    assert got == {("x", "x", 1), ("x", "y", 1), ("y", "x", 0), ("y", "y", 1)}
+    report = files.load_json(tmp_path / "m/classification_report.json")
+    assert list(report) == ["x", "y", "accuracy", "macro avg", "weighted avg"] and report["x"]["support"] == 2
+
+
+def register():
+    """A scorer that goes by the length of a file; local, so that tasks need not find this module."""
+
+    @scoring.scorer("odd length")
+    def factory(high: float = 3.0):
+        return lambda frame: [[high, 0.0] if len(c) % 2 else [0.0, 1.0] for c in frame["content"]]
+
+
+def run_folder(path, *args):
+    register()
+    sinks.save_json({"scorer": "odd length", "args": list(args), "class_to_idx": {"壁": 0, "柱": 1}}, path / "run.json")
+    return str(path)
+
+
+def test_evaluate_ensemble_and_charts(spark, tmp_path):
+    tree(tmp_path / "raw")
+    cfg = config(tmp_path)
+    counts = cli.run_prepare(spark, cfg)
+    run = run_folder(tmp_path / "run")
+    members = [jobs.load_member(run), jobs.load_member(run_folder(tmp_path / "other", 9.0), 2.0)]
+    got = jobs.evaluate(spark, members, f"{cfg.manifest_dir}/d", cfg.processed_root, ["train", "test"], run)
+    predicted = spark.read.parquet(f"{run}/predictions/train").collect()
+    assert len(predicted) == sum(n for (s, _), n in counts.items() if s == "train")
+    assert all(abs(sum(r.probs) - 3.0) < 1e-9 for r in predicted)  # weights count as given
+    right = sum(r.true_idx == r.pred_idx for r in predicted)
+    assert got["train"]["accuracy"] == pytest.approx(right / len(predicted))
+    assert jobs.chart_tables(spark, run) == ["test", "train"]
+    lines = (tmp_path / "run/metrics/per_class_metrics_all_splits.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0] == "split,class,precision,recall_r1,f1,support" and [x.split(",")[0] for x in lines[1:]] == ["test", "test", "train", "train"]
+    assert (tmp_path / "run/figures/train/confusion_matrix.csv").exists()
+    manifest = files.read_manifest(spark, f"{cfg.manifest_dir}/d_all.csv").collect()
+    assert [(r.split, r.class_name, r.src_path) for r in manifest] == sorted((r.split, r.class_name, r.src_path) for r in manifest) and len(manifest) == 25
+    assert files.read_manifest(spark, f"{cfg.manifest_dir}/d_train.csv").count() == len(predicted)
+
+
+def test_inference_of_a_bag(spark, tmp_path):
+    tree(tmp_path / "raw")
+    members = [jobs.load_member(run_folder(tmp_path / "a")), jobs.load_member(run_folder(tmp_path / "b", 9.0), 3.0)]
+    one = str(next((tmp_path / "raw").rglob("bad.jpg")))
+    rows = jobs.infer(spark, members, [one, one], str(tmp_path / "raw"), 5, str(tmp_path / "out.csv")).collect()
+    assert sum(r.image == one for r in rows) == 3
+    assert all(float(r.top1_prob) + float(r.top2_prob) == pytest.approx(1) and r.pred_class == r.top1_class and r.confidence == r.top1_prob for r in rows)
+
+
+def test_best_epoch_and_curves_of_a_run(spark, tmp_path):
+    (tmp_path / "history.csv").write_text("epoch,train_loss,val_loss,lr,accuracy\n1,3,3,.1,.1\n2,2,2,.1,.3\n3,1,2,.1,.2\n4,1,2,.1,.3\n5,1,2,.1,.5\n")
+    best = jobs.best_summary(spark, str(tmp_path), "accuracy", 2)
+    assert best == files.load_json(tmp_path / "best_summary.json") == {"best_epoch": 2, "best_metric": 0.3, "last_epoch": 4}
+    assert jobs.chart_tables(spark, str(tmp_path)) == [] and (tmp_path / "figures/loss_curve.csv").exists()
+
+
+def test_a_torn_copy_is_never_taken_for_a_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").write_bytes(b"x" * 100)
+
+    def torn(src, dst):
+        dst.write_bytes(b"x" * 10)
+        raise OSError("died")
+
+    monkeypatch.setattr(sinks.shutil, "copy2", torn)
+    with pytest.raises(OSError, match="died"):
+        sinks._bring(str(tmp_path / "src"), tmp_path / "out/dst", link=False)
+    assert not (tmp_path / "out/dst").exists() and not list((tmp_path / "out").iterdir())
+    monkeypatch.undo()
+    assert sinks._bring(str(tmp_path / "src"), tmp_path / "out/dst", link=False) and (tmp_path / "out/dst").read_bytes() == b"x" * 100
+
+
+def test_numbers_in_order_whatever_the_paths_begin_with(spark):
+    rows = spark.createDataFrame([(f"/one/long/common/folder/{i:05d}.jpg", "train", "x", f"{i}.jpg") for i in range(3000)], "src_path string, split string, class_name string, raw_rel_path string")
+    got = curate.with_processed_path(rows.repartition(7)).collect()
+    assert all(r.processed_rel_path == f"train/x/x_{int(r.src_path[-9:-4]) + 1:05d}.jpg" for r in got)
+
+
 def test_small_csv_guards(spark, tmp_path):
     sinks.write_small_csv(spark.createDataFrame([], "a int, b string"), tmp_path / "e.csv")
     assert (tmp_path / "e.csv").read_text(encoding="utf-8-sig").strip() == "a,b"
