@@ -27,8 +27,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of our own only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a temporary one of our own only where that is unset and all runs on one
+    machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir names the shared folder for intermediate tables")
     if not found:
         found = getattr(spark, "_corvane_shared", None) or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark._corvane_shared = found
@@ -36,12 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once to the shared folder, so that nothing is computed twice and lost executors cost no lineage."""
+    """Tables written once to the shared folder, so that nothing is computed twice and lost executors cost no lineage.
+
+    Whoever makes one may release it once all that reads its tables is written."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
         self.n = 0
-        _open.setdefault(id(spark), []).append(self.root)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -50,15 +54,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-_open: dict[int, list[str]] = {}
+    def release(self) -> None:
+        delete(self.spark, self.root)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables written so far. Call it when every result that reads them has been written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for root in _open.pop(id(spark), []):
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:
@@ -85,3 +87,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).head()[0] or 0
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Goes with the pipeline's next change; owners release their own tables."""
