@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir); run() writes each result as Parquet, reads it again and hands it to
 the next stage as docs. All but the last return the columns of documents; n_chars follows the text.
+
+Cases: a null text is empty, and quality_rules rejects it, as it does all texts of under 20 words. Null ids, sources and
+languages stay null; rows without an id stand last. Of repeated rows near_dedup keeps one, of rows that only share an id
+each, if their texts differ enough. Ties go to the least id, then to a hash of the text. Empty tables give empty ones.
+Columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, read, release_scratch, shared_dir
+from corvane.llm.common import Scratch, delete, read, shared_dir
 from corvane.llm.lines import deduplicate_lines
 from corvane.llm.packing import place, tokenised_pieces
 from corvane.llm.quality import fit, judge
@@ -22,6 +27,17 @@ from corvane.llm.substrings import repeated_spans
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+_held: list[Scratch] = []  # of the pipeline's own stages
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    """A stage's own scratch tables; those of the stages before, whose results are written, go."""
+    while _held:
+        _held.pop().release()
+    _held.append(Scratch(spark))
+    return _held[-1]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """Null texts become empty."""
     return docs.select(*COLUMNS).withColumn("text", F.coalesce("text", F.lit("")))
@@ -42,27 +58,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go that repeat an earlier one, those of five words or more within one edited word."""
-    release_scratch(spark)
-    return _unpacked(deduplicate_lines(_texts(docs)))
+    return _unpacked(deduplicate_lines(_texts(docs), _scratch(spark)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by SimHash, or by a Jaccard similarity of 0.8 or more, of five-word shingles one stays."""
-    release_scratch(spark)
-    return keep_one(_texts(docs))
+    return keep_one(_texts(docs), scratch=_scratch(spark))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text goes that a string of 100 bytes covers which starts earlier."""
-    release_scratch(spark)
     return _unpacked(repeated_spans(_texts(docs), with_text=True))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    release_scratch(spark)
     pieces = tokenised_pieces(_texts(docs), public_tokenizers.path("word_bpe_49k.json"))
-    return place(Scratch(spark).table(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+    return place(_scratch(spark).table(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
 STAGES = [
@@ -79,9 +91,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
-    release_scratch(spark)
+        if before:  # only the last stage's rows are read from here on
+            delete(spark, f"{root}/{before}")
+        before = name
+    while _held:
+        _held.pop().release()
     return docs
