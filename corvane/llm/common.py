@@ -87,7 +87,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).head()[0] or 0
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Goes with the pipeline's next change; owners release their own tables."""
