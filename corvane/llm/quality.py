@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import id_text, read, slices
+from corvane.llm.common import give_back, id_text, read, slices
 from corvane.llm.segments import code_points, mix, segment_hashes
 
 SAMPLE_ROWS = 4096  # labelled rows that the classifier is fitted on, at most
@@ -126,19 +126,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Examples:
-    """Rows of sparse features by id, in pieces, so that wide copies are only made of one at a time."""
+    """Rows of sparse features by id, in pieces, so that wide copies are only made of one at a time. Takes a table of
+    one chunk: taking from several would copy all of them each time."""
 
     def __init__(self, got: pa.Table, piece: int = 256):
         self.pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (features of each row, features, values)
         order = np.argsort(got["doc_id"].to_numpy())
         for i in range(0, len(order), piece):
-            part = got.take(order[i : i + piece]).combine_chunks()
-            at, value = (part[c].chunk(0) for c in ("at", "value"))
-            self.pieces.append((np.diff(at.offsets.to_numpy()), at.flatten().to_numpy(), value.flatten().to_numpy().copy()))
+            at, value = (got[c].chunk(0).take(pa.array(order[i : i + piece])) for c in ("at", "value"))
+            self.pieces.append((np.diff(at.offsets.to_numpy()), at.flatten().to_numpy(), value.flatten().to_numpy()))
         self.labels, self.ids = (got[c].to_numpy()[order] for c in ("quality", "doc_id"))
         self.scale = np.sqrt(sum(np.bincount(at, value**2, BUCKETS) for _, at, value in self.pieces) / max(1, len(order))) + 1e-3
-        for _, at, value in self.pieces:  # rare features count less than frequent ones
-            value /= self.scale[at].astype(np.float32)
+        for i, (sizes, at, value) in enumerate(self.pieces):  # rare features count less than frequent ones
+            self.pieces[i] = sizes, at, value / self.scale[at].astype(np.float32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         out, w = [], w.astype(np.float32)
@@ -205,8 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, step
     got = rows.mapInArrow(_features, "doc_id long, quality int, at array<smallint>, value array<float>").toArrow()
     if len(set(got["quality"].to_pylist())) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 30.0)
+    got = got.combine_chunks()
     examples = Examples(got)
     del got
+    give_back()
     y = examples.labels.astype(float)
     # A quarter is held out for calibration and to end the fit.
     deal = mix(examples.ids.view(np.uint64)).argsort(kind="stable").argsort() % 4 == 0
