@@ -1,15 +1,15 @@
 """Cross-entropy difference: how much more a target model than a background model expects each document.
 
-Two n-gram models are counted over all documents, the target's over those that are labelled good and not toxic, the
-background's over all. They share one vocabulary, the words of MIN_COUNT tokens or more and one entry for the rest,
-and are matched: the background's counts are scaled to the target's tokens before both are smoothed alike,
-P(w) = (c(w) + ALPHA) / (N + ALPHA * |V|). The HEAD most frequent words are classes of their own and all others one
-class; with c(w) a word's class, P(w | v) = WEIGHT * n(c(v), c(w)) / n(c(v)) * P(w) / P(c(w)) + (1 - WEIGHT) * P(w).
-A document's losses are the means of -log P over its tokens, its score the mean of the differences, target less
-background: the lower, the more like the target.
+Two bigram models are counted over all documents, the target's over those that are labelled good and not toxic, the
+background's over all. They share one vocabulary, every word of the corpus, and count every pair of neighbouring words;
+they are matched: the background's counts are scaled to the target's tokens before both are smoothed alike,
+P(w) = (c(w) + ALPHA) / (N + ALPHA * |V|) and P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v) + STRENGTH).
+A document's losses are the means of -log P over its tokens (the first has no v), its score the mean of the differences,
+target less background: the lower, the more like the target.
 
-Counts travel as packed rows between blocks of texts and buckets of keys (blocks.py), so a frequent word costs one
-entry a block. Words are white-space runs in lower case and are told apart by a 64-bit hash.
+Counts travel as packed rows between blocks of texts and buckets of keys (blocks.py), so a frequent word or pair costs
+one entry a block, and nothing but three sums comes to the driver. Words are white-space runs in lower case; words and
+pairs are told apart by 63-bit hashes.
 
 Cases: a null or blank text has no tokens, and null losses and score. Null ids have no label. Repeated rows count and
 are scored each. An id that any label row calls good and none toxic is in the target. Without targets all scores are
@@ -18,22 +18,20 @@ are scored each. An id that any label row calls good and none toxic is in the ta
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.blocks import PACKED, answer, blocked, pack, packed_table, rows_of, settle, unpack
-from corvane.llm.common import Scratch, id_text, read, slices
+from corvane.llm.blocks import PACKED, blocked, pack, packed_table, rows_of, settle, unpack
+from corvane.llm.common import Scratch, give_back, id_text, read, slices
 from corvane.llm.quality import Texts
 from corvane.llm.segments import mix
 
-HEAD = 4096
-MIN_COUNT = 2
 ALPHA = 0.5
-WEIGHT = 0.6
+STRENGTH = 4.0
+_PAIR = np.uint64(1)  # the lowest bit of a key: set in pairs, clear in words
 
 
 def tokens_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -47,62 +45,58 @@ def tokens_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.concatenate(of)
 
 
-def classes_of(words: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The place in the sorted head, or its size for all other words."""
-    if not len(head):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(head, words), len(head) - 1)
-    return np.where(head[at] == words, at, len(head))
+class Keys:
+    """A block's tokens by the distinct keys of its words and pairs, and the keys by bucket."""
 
+    def __init__(self, rows: pa.Table, buckets: int):
+        words, self.of = tokens_of(rows)
+        self.after = np.flatnonzero(self.of[1:] == self.of[:-1]) + 1  # tokens that follow another of their text
+        pairs = mix(mix(words[self.after - 1]) + words[self.after])
+        self.keys, inverse = np.unique(np.concatenate([words & ~_PAIR, pairs | _PAIR]), return_inverse=True)
+        self.word, self.pair = inverse[: len(words)], inverse[len(words) :]
+        bucket = ((self.keys >> _PAIR) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.places = lambda b: order[ends[b] : ends[b + 1]]
 
-def pair_keys(words: np.ndarray, of: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of tokens that follow another in their text, key of the pair of classes)."""
-    kind = classes_of(words, head)
-    at = np.flatnonzero(of[1:] == of[:-1]) + 1
-    return at, mix((kind[at - 1] * (len(head) + 1) + kind[at]).astype(np.uint64) + np.uint64(1 << 40))
+    def count(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """Of each key, the number of its tokens, or of those with the weight 1."""
+        found = np.bincount(self.word, weight, len(self.keys))
+        return (found + np.bincount(self.pair, None if weight is None else weight[self.after], len(self.keys))).astype(np.uint32)
 
 
-def _asked(base: DataFrame, targets: DataFrame, n: int, head: np.ndarray | None) -> DataFrame:
+def _asked(base: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """Each block's counts by key, packed by bucket: (key, in the target, in all)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = rows_of(left)
+        if not len(left):
+            return packed_table([])
+        rows, block = rows_of(left), left["block"][0].as_py()
         good = pc.is_in(rows["doc_id"], right["doc_id"].combine_chunks(), skip_nulls=True).to_numpy(zero_copy_only=False)
-        words, of = tokens_of(rows)
-        keys, weight = words, good[of]
-        if head is not None:
-            at, pairs = pair_keys(words, of, head)
-            keys, weight = np.concatenate([words, pairs]), np.concatenate([weight, weight[at]])
-        keys, inverse = np.unique(keys, return_inverse=True)
-        target, total = np.bincount(inverse, weight, len(keys)).astype(np.uint32), np.bincount(inverse, minlength=len(keys)).astype(np.uint32)
-        bucket = (keys % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        begins, block = np.searchsorted(bucket[order], np.arange(n + 1)), left["block"][0].as_py() if len(left) else 0
-        parts = ((b, order[begins[b] : begins[b + 1]]) for b in range(n))
-        return packed_table([(b, block, pack(keys[i], target[i], total[i])) for b, i in parts if len(i)])
+        found = Keys(rows, n)
+        target, total = found.count(good[found.of]), found.count()
+        parts = ((b, found.places(b)) for b in range(n))
+        out = packed_table([(b, block, pack(found.keys[i], target[i], total[i])) for b, i in parts if len(i)])
+        give_back()
+        return out
 
     return base.groupBy("block").cogroup(targets.groupBy("block")).applyInArrow(run, PACKED)
 
 
-def _totals(questions: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    parts = [unpack(q, np.uint64, np.uint32, np.uint32) for q in questions]
+def _answered(table: pa.Table) -> pa.Table:
+    """A bucket's counts over all blocks, for each block in the order of its question; and on one row of no block, the
+    bucket's words, their tokens in the target and in all."""
+    bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+    parts = [unpack(q, np.uint64, np.uint32, np.uint32) for q in table["data"].to_pylist()]
     keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    target, total = (np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(keys)) for k in (1, 2))
-    return keys, target, total, inverse, np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
-
-
-def _summary(table: pa.Table) -> pa.Table:
-    """The bucket's most frequent words (kind 0), HEAD at most, and its sums (kind 1)."""
-    keys, target, total, *_ = _totals(table["data"].to_pylist())
-    top = np.lexsort((keys, -total))[:HEAD]
-    known = total >= MIN_COUNT
-    columns = {
-        "kind": np.append(np.zeros(len(top), np.int32), np.int32([1, 2])),
-        "key": np.append(keys[top].view(np.int64), [int(known.sum()), 0]),
-        "target": np.concatenate([target[top], [target.sum(), target[~known].sum()]]),
-        "total": np.concatenate([total[top], [total.sum(), total[~known].sum()]]),
-    }
-    return pa.table(columns)
+    target, total = (np.bincount(inverse, np.concatenate([p[k] for p in parts]), len(keys)).astype(np.uint64) for k in (1, 2))
+    ends = np.cumsum([0] + [len(p[0]) for p in parts]).tolist()
+    rows = [(bucket, block, pack(target[inverse[a:b]], total[inverse[a:b]])) for block, a, b in zip(blocks, ends, ends[1:])]
+    out, words = packed_table([*rows, (bucket, None, None)]), (keys & _PAIR) == 0
+    for name, value in (("words", words.sum()), ("target", target[words].sum()), ("total", total[words].sum())):
+        out = out.append_column(name, pa.array([None] * len(rows) + [int(value)], pa.int64()))
+    give_back()
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -112,51 +106,29 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) ->
     base, n = blocked(docs.select("doc_id", "text"), by=by)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     targets = marks.where("good = 1 and toxic = 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id").repartition(n, "block")
-    stats = scratch.table(_asked(base, targets, n, None).groupBy("bucket").applyInArrow(_summary, "kind int, key long, target double, total double"))
-    top = stats.where("kind = 0").orderBy(F.desc("total"), "key").limit(HEAD).toArrow()  # HEAD rows at most
-    sums = {r.kind: r for r in stats.where("kind > 0").groupBy("kind").agg(F.sum("key").alias("known"), F.sum("target").alias("target"), F.sum("total").alias("total")).collect()}
-    if not sums:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), *(F.lit(None).cast("double").alias(c) for c in ("loss_target", "loss_background", "score")))
-    order = np.argsort(top["key"].to_numpy().view(np.uint64))
-    head = top["key"].to_numpy().view(np.uint64)[order]
-    scale = (1.0, sums[1].target / max(1, sums[1].total))
-    entries, tokens = sums[1].known + 1, sums[1].target
-    smooth = lambda count: (count + ALPHA) / (tokens + ALPHA * entries)
-    rare = [smooth(sums[2].target), smooth(sums[2].total * scale[1])]
-    of_class, by_class = [], []  # by model: scaled tokens and probability of each class
-    for model, column in enumerate(("target", "total")):
-        counts = top[column].to_numpy()[order] * scale[model]
-        of_class.append(np.append(counts, max(tokens - counts.sum(), 0)))
-        known = np.where(top["total"].to_numpy()[order] >= MIN_COUNT, smooth(counts), rare[model])
-        by_class.append(np.append(known, max(1 - known.sum(), 1e-12)))
-
-    def reply(questions: list[bytes]) -> list[bytes]:
-        _, target, total, inverse, ends = _totals(questions)
-        return [pack(target[inverse[a:b]].astype(np.uint64), total[inverse[a:b]].astype(np.uint64)) for a, b in zip(ends, ends[1:])]
-
-    def use(rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        words, of = tokens_of(rows)
-        at, pairs = pair_keys(words, of, head)
-        keys, inverse = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-        bucket = (keys % np.uint64(n)).astype(np.int64)
-        counts = np.zeros((2, len(keys)))
-        for b, data in answers.items():
-            counts[:, bucket == b] = unpack(data, np.uint64, np.uint64)
-        kind = classes_of(words, head)
-        mine, losses = inverse[: len(words)], []
-        for model in (0, 1):
-            p = np.where(counts[1, mine] >= MIN_COUNT, smooth(counts[model, mine] * scale[model]), rare[model])
-            context, follows = of_class[model][kind[at - 1]], counts[model, inverse[len(words) :]] * scale[model]
-            known = context > 0
-            mixed = WEIGHT * follows / np.where(known, context, 1) * p[at] / by_class[model][kind[at]] + (1 - WEIGHT) * p[at]
-            p[at] = np.where(known, mixed, p[at])
+    answers = scratch.table(_asked(base, targets, n).groupBy("bucket").applyInArrow(_answered, f"{PACKED}, words long, target long, total long"))
+    sums = answers.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "target", "total"))).head()
+    entries, tokens = sums.words, sums.target
+    scales = (1.0, tokens / max(1, sums.total))
+
+    def use(rows: pa.Table, replies: dict[int, bytes]) -> pa.Table:
+        found = Keys(rows, n)
+        counts = np.zeros((2, len(found.keys)))
+        for b, data in replies.items():
+            counts[:, found.places(b)] = unpack(data, np.uint64, np.uint64)
+        losses = []
+        for scale, count in zip(scales, counts):
+            count = count * scale
+            c = count[found.word]
+            p = (c + ALPHA) / (tokens + ALPHA * entries)
+            p[found.after] = (count[found.pair] + STRENGTH * p[found.after]) / (c[found.after - 1] + STRENGTH)
             losses.append(-np.log(p))
-        size = np.bincount(of, minlength=len(rows))
-        mean = lambda x: pa.array(np.bincount(of, x, len(rows)) / np.maximum(size, 1), mask=size == 0)
+        size = np.bincount(found.of, minlength=len(rows))
+        mean = lambda x: pa.array(np.bincount(found.of, x, len(rows)) / np.maximum(size, 1), mask=size == 0)
         return pa.table({"doc_id": rows["doc_id"], "n_tokens": pa.array(size, pa.int64()), "loss_target": mean(losses[0]), "loss_background": mean(losses[1]), "score": mean(losses[0] - losses[1])})
 
     schema = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
-    return settle(base, answer(_asked(base, targets, n, head), reply), use, schema)
+    return settle(base, answers.where("block is not null").select("bucket", "block", "data"), use, schema)
 
 
 def op1_scoring(spark, sf_dir: str) -> DataFrame:
