@@ -18,15 +18,15 @@ def brute(docs, good):
         pairs.update(zip(ws, ws[1:]))
         target.update(ws if i in good else [])
         target_pairs.update(zip(ws, ws[1:]) if i in good else [])
-    n, v = sum(target.values()), len(total)
-    models = [(1, target, target_pairs), (n / max(1, sum(total.values())), total, pairs)]
+    n, n_all = sum(target.values()), sum(total.values())
+    models = [(1, target, target_pairs), (n / n_all, total, pairs)]
     out = []
     for i, ws in words:
         losses = []
         for scale, c, cc in models:
             loss = 0
             for j, w in enumerate(ws):
-                p = (c[w] * scale + scoring.ALPHA) / (n + scoring.ALPHA * v)
+                p = (1 - scoring.SHARE) * c[w] * scale / n + scoring.SHARE * total[w] / n_all
                 if j:
                     p = (cc[ws[j - 1], w] * scale + scoring.STRENGTH * p) / (c[ws[j - 1]] * scale + scoring.STRENGTH)
                 loss -= math.log(p)
