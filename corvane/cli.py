@@ -38,7 +38,7 @@ def run_prepare(spark: SparkSession, cfg: DatasetConfig, force: bool = False, st
     rows = spark.read.parquet(f"{cfg.manifest_dir}/hashed")
     if rows.isEmpty():
         raise ValueError(f"{cfg.raw_root} holds no file of a known class")
-    sinks.write_csv(curate.conflicts(rows), f"{cfg.audit_dir}/cross_class_duplicates")
+    sinks.write_sorted_csv(curate.conflicts(rows), f"{cfg.audit_dir}/cross_class_duplicates", ["sha256", "class_name", "src_path"])
     curate.curated(rows, cfg.exclude_cross_class_duplicates)  # raises where none may be left out
     curate.check_classes(curate.quotas(curate.clean_groups(rows), cfg.split))
     split = curate.with_class_index(curate.split_manifest(rows, cfg.split, cfg.seed), curate.class_index(spark, cfg.class_map))

@@ -1,7 +1,9 @@
 """Hand vectors, file trees and properties of the library."""
 
+import csv
 import hashlib
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +145,10 @@ def test_prepare_of_a_tree(spark, tmp_path):
     assert sum(counts.values()) == 25  # with bad.jpg, without the two that contradict each other
     manifest = spark.read.parquet(f"{cfg.manifest_dir}/d").collect()
     assert len({r.processed_rel_path for r in manifest}) == 25
+    parts = sorted(Path(cfg.audit_dir, "cross_class_duplicates").glob("part-*"))
+    rows = [line for p in parts for line in csv.DictReader(p.open(encoding="utf-8"))]
+    keys = [(r["sha256"], r["class_name"], r["src_path"]) for r in rows]
+    assert len(keys) == 2 and keys == sorted(keys)
     splits = {}
     for r in manifest:
         data = (tmp_path / "out" / r.processed_rel_path).read_bytes()
