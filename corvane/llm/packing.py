@@ -143,7 +143,9 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndarray]:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ...) that can be read twice."""
+    """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ...) that can be read twice; columns of
+    these names, _salt and _rank are replaced."""
+    pieces = pieces.drop("sequence_id", "offset", "_salt", "_rank")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     got = salted.groupBy("length", "_salt").count().toArrow()  # SALTS * capacity rows at most
     each = np.zeros((capacity + 1, SALTS), np.int64)

@@ -31,6 +31,14 @@ def test_query_equals_the_library(spark, tmp_path, monkeypatch):
         assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
 
 
+def test_query_of_null_ids_texts_and_clashing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(None, None, 1, "x"), (None, "a b", 2, None), (4, "a b", None, "y")], "doc_id long, text string, ids int, n_tokens string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = bpe.op3_bpe(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 0), (0, 2), (4, 2)]
+    assert len({r.ids_sha256 for r in rows}) == 2
+
+
 def test_decoding_any_ids(spark):
     rng = random.Random(3)
     lists = [[rng.randrange(50257) for _ in range(rng.randrange(30))] for _ in range(60)] + [[50256, 0, 50256], []]

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -70,10 +71,35 @@ def test_hash_is_near_for_near_pictures():
     assert bits(media.cosine_hash(picture), media.cosine_hash(rng.integers(0, 256, (64, 192), dtype=np.uint8))) > 10
 
 
+@pytest.mark.parametrize("height", [1, 7, 32, 64, 100])
+def test_hash_equals_the_plain_transform(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, 64 * 3), dtype=np.uint8)
+    grey = [[sum(int(v) for v in samples[y, 3 * x : 3 * x + 3]) for x in range(64)] for y in range(height)]
+    cut = lambda i, n: range(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1))
+    small = [[np.mean([grey[y][x] for y in cut(i, height) for x in cut(j, 64)]) for j in range(32)] for i in range(32)]
+    cos = lambda k, n: math.cos(math.pi * k * (2 * n + 1) / 64)
+    low = [sum(small[i][j] * cos(u, i) * cos(v, j) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    got = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8))
+    near = 1e-6 * max(map(abs, low))  # rounding may decide a coefficient at the median
+    assert all(bool(bit) == (c > middle) for bit, c in zip(got, low) if abs(c - middle) > near)
+
+
+def test_query_of_null_ids_texts_and_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(None, None, "u"), (None, "a", "v"), (1, "a", None), (1, "a", None)], "doc_id long, text string, media string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = media.op2_media(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in rows) == [(0, 0), (0, 1), (1, 1), (1, 1)]
+    assert len({(r.payload_sha256, r.media_bytes, r.media_sha256, r.feature) for r in rows}) == 2
+
+
 def test_query(spark, tmp_path):
     odd_documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     for r in media.op2_media(spark, str(tmp_path)).collect():
         raw = (ODD[r.doc_id] or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        stored = media.encode_png(payload, len(raw))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == media.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, 192)).hex()
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])

@@ -122,6 +122,9 @@ def test_pieces_of_a_long_text_and_a_null_id(spark):
         assert np.concatenate(found[i]).tolist() == library.encode(t, add_special_tokens=False).ids + [0]
     placed = packing.place(packing.tokenised_pieces(df, WORDS, 50).drop("ids"), 50)
     assert placed.count() == len(rows) and placed.where("doc_id is null").count() == 1
+    clash = packing.tokenised_pieces(df, WORDS, 50).drop("ids").selectExpr("*", "'x' as sequence_id", "0 as _salt")
+    want = sorted((r.doc_id or -1, r.piece, r.sequence_id, r.offset) for r in placed.collect())
+    assert sorted((r.doc_id or -1, r.piece, r.sequence_id, r.offset) for r in packing.place(clash, 50).collect()) == want
 
 
 def test_query(spark, tmp_path):
