@@ -9,6 +9,7 @@ from corvane.llm.lines import op7_lines
 from corvane.llm.media import op2_media
 from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
+from corvane.llm.ring import op11_sharding
 from corvane.llm.scoring import op1_scoring
 from corvane.llm.simhash import op4_simhash
 from corvane.llm.substrings import op8_substrings
@@ -16,7 +17,10 @@ from corvane.llm.urls import OP6_SQL, op6_urls
 
 
 def queries() -> dict:
-    found = op1_scoring, op2_media, op3_bpe, op4_simhash, op5_html, op6_urls, op7_lines, op8_substrings, op9_packing, op10_quality
+    found = (
+        op1_scoring, op2_media, op3_bpe, op4_simhash, op5_html, op6_urls, op7_lines, op8_substrings, op9_packing, op10_quality,
+        op11_sharding,
+    )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
