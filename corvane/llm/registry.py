@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from corvane.llm.alignment import op12_alignment
 from corvane.llm.bpe import op3_bpe
 from corvane.llm.html import op5_html
 from corvane.llm.lines import op7_lines
@@ -19,7 +20,7 @@ from corvane.llm.urls import OP6_SQL, op6_urls
 def queries() -> dict:
     found = (
         op1_scoring, op2_media, op3_bpe, op4_simhash, op5_html, op6_urls, op7_lines, op8_substrings, op9_packing, op10_quality,
-        op11_sharding,
+        op11_sharding, op12_alignment,
     )
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
