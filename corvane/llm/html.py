@@ -3,7 +3,9 @@
 A page is parsed once and cut into blocks of text. Blocks inside menus, headers, footers, sidebars, forms, notices,
 adverts and reader comments are left out by their element, role, or class or id of which each word says so. If the page
 marks its main part, that is the text (only its articles, where they hold most of it), else its articles are. A main
-part or article that stands within something left out counts where there is no other.
+part or article that stands within something left out counts where the page holds no other text, as when a form or a
+sidebar's class wraps the whole page; never one in reader comments, a menu, a footer or an aside. An element left out
+within a line takes its text away and does not part the block.
 
 The remaining blocks, those outside any article, form the page's token stream. Streams are concatenated by host; a
 string of LEAST tokens that stands on two distinct pages of the host is boilerplate. Where a page marks no article, its
@@ -62,6 +64,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements whose id may say that they are left out, and classes of an article that is a comment.
 NAMED = {"div", "ol", "section", "span", "table", "ul"}
+NO_WRAPPER = {"aside", "dialog", "footer", "head", "menu", "nav"}
 COMMENT_CLASSES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 
 
@@ -78,6 +81,11 @@ def _says_out(name: str, words: set[str] = OUT_CLASSES) -> bool:
     return all(w in words for w in re.split(r"[-_]+", name.strip("-_")))
 
 
+def _is_comment(tag: str, attrs: dict[str, str]) -> bool:
+    names = [*attrs.get("class", "").split(), *([attrs["id"]] if tag in NAMED and "id" in attrs else [])]
+    return any(_says_out(n, COMMENT_CLASSES | {"list"}) and n != "list" for n in names)
+
+
 def _left_out(tag: str, attrs: dict[str, str]) -> bool:
     if tag in OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in OUT_ROLES:
         return True
@@ -86,7 +94,7 @@ def _left_out(tag: str, attrs: dict[str, str]) -> bool:
     if tag in HEADINGS or tag in ("html", "body", "main"):
         return False
     words = COMMENT_CLASSES if tag == "article" else OUT_CLASSES
-    return any(_says_out(c, words) for c in attrs.get("class", "").split()) or (tag in NAMED and bool(attrs.get("id")) and _says_out(attrs["id"]))
+    return _is_comment(tag, attrs) or any(_says_out(c, words) for c in attrs.get("class", "").split()) or (tag in NAMED and bool(attrs.get("id")) and _says_out(attrs["id"]))
 
 
 ARTICLE, MAIN, OPEN, GONE, MAIN_ARTICLE, HIDDEN_ARTICLE = range(6)
@@ -96,24 +104,31 @@ HELD = {"article", "body", "div", "header", "main", "ol", "section", "table", "u
 def blocks(page: str) -> Iterator[tuple[int, str]]:
     """(kind, text) of the page's blocks in order: in an article, in the main part, in an article of it, outside all, left
     out, or in an article or main part within something left out."""
-    stack: list[tuple[str, bool, bool]] = []  # (tag, left out, article or main)
+    stack: list[list] = []  # tag, left out (2: with all articles in it), article or main, and in a line where its text begins
     parts: list[str] = []
 
     def block() -> Iterator[tuple[int, str]]:
-        text = " ".join("".join(parts).split())
+        cut = next((i for i, s in enumerate(stack) if s[3] is not None), len(stack))
+        at = stack[cut][3] if cut < len(stack) else len(parts)
+        for texts, over in ((parts[:at], stack[:cut]), (parts[at:], stack)):
+            text = " ".join("".join(texts).split())
+            if text:
+                yield kind(over), text
         parts.clear()
-        if text:
-            tags = [t for t, *_ in stack]
-            main = next((i for i, s in enumerate(stack) if s[2]), -1)
-            article = tags.index("article") if "article" in tags else -1
-            inside = main if article < 0 else article if main < 0 else min(main, article)
-            gone = [i for i, s in enumerate(stack) if s[1] or (s[0] == "header" and not 0 <= inside < i)]
-            if gone and (inside < 0 or gone[-1] >= inside):
-                yield GONE, text
-            elif inside < 0:
-                yield OPEN, text
-            else:
-                yield HIDDEN_ARTICLE if gone else MAIN_ARTICLE if 0 <= main < article else ARTICLE if main < 0 else MAIN, text
+        for s in stack[cut:]:
+            s[3] = None if s[3] is None else 0
+
+    def kind(over: list[list]) -> int:
+        tags = [s[0] for s in over]
+        main = next((i for i, s in enumerate(over) if s[2]), -1)
+        article = tags.index("article") if "article" in tags else -1
+        inside = main if article < 0 else article if main < 0 else min(main, article)
+        gone = [i for i, s in enumerate(over) if s[1] or (s[0] == "header" and not 0 <= inside < i)]
+        if gone and (inside < 0 or gone[-1] >= inside or any(over[i][1] == 2 for i in gone)):
+            return GONE
+        if inside < 0:
+            return OPEN
+        return HIDDEN_ARTICLE if gone else MAIN_ARTICLE if 0 <= main < article else ARTICLE if main < 0 else MAIN
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -132,7 +147,10 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
         if m["end"] or m["end2"]:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
-                    yield from block()
+                    if stack[at][3] is None:
+                        yield from block()
+                    else:
+                        del parts[stack[at][3] :]
                     del stack[at:]
                     break
                 if not is_block and stack[at][0] in BLOCK:
@@ -144,12 +162,12 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
             stack[:] = [s for s in stack if s[0] != "head"]
         written = m["attrs"] or ""
         attrs = attributes(written) if written else {}
-        gone = _left_out(tag, attrs)
+        gone = int(_left_out(tag, attrs))
+        if gone and (tag in NO_WRAPPER or attrs.get("role") in OUT_ROLES or _is_comment(tag, attrs)):
+            gone = 2
         body = attrs.get("itemprop") == "articlebody"
         if (gone or body or tag in HELD or attrs.get("role") == "main") and not written.rstrip().endswith("/"):
-            if gone:
-                yield from block()
-            stack.append((tag, gone, body or tag == "main" or attrs.get("role") == "main"))
+            stack.append([tag, gone, body or tag == "main" or attrs.get("role") == "main", len(parts) if gone and not is_block else None])
     parts.append(html.unescape(page[last:]))
     yield from block()
 
@@ -160,7 +178,7 @@ def marked_text(found: list[tuple[int, str]]) -> str | None:
     if size[MAIN_ARTICLE] + size[MAIN]:
         chosen = (MAIN_ARTICLE,) if size[MAIN_ARTICLE] >= size[MAIN] else (MAIN, MAIN_ARTICLE)
     else:
-        chosen = (ARTICLE,) if size[ARTICLE] else (HIDDEN_ARTICLE,)
+        chosen = (ARTICLE,) if size[ARTICLE] else () if any(k == OPEN for k, _ in found) else (HIDDEN_ARTICLE,)
     texts = [t for k, t in found if k in chosen]
     return "\n\n".join(texts) if texts else None
 

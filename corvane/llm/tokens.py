@@ -168,8 +168,10 @@ class Encoder:
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where those of each text begin, the end included)."""
-        plain = [not odd(t) for t in texts]
-        texts_low = [lowered(t) if p else "" for t, p in zip(texts, plain)]
+        texts_low = [lowered(t) for t in texts]
+        # The library normalises before it lower-cases, and its words here once more: where lower case undoes the first, texts go whole.
+        plain = [not odd(t) and (low.isascii() or unicodedata.is_normalized("NFC", low)) for t, low in zip(texts, texts_low)]
+        texts_low = [low if p else "" for low, p in zip(texts_low, plain)]
         codes, bounds = code_points(texts_low)
         starts, ends = split(codes, bounds, spaced=False)
         keys, first, inverse = np.unique(segment_hashes(codes, starts, ends), return_index=True, return_inverse=True)

@@ -12,7 +12,7 @@ CASES = [
     ("<main><p>a<p>b</main><div>c</div>", "a\n\nb"),
     ("<head><title>t</title><body><p>a<script>var x='</p>'</script>b</p><div class='cookie-notice'>c</div><p>d", "ab\n\nd"),
     ("<article><p class=ad>x<p>a</article>", "a"),
-    ("<article><p>a <span hidden>b</span> c<!-- d > --> e</p><div style='display: none'>f</div><article class=\"comment\">g</article></article>", "a\n\nc e"),
+    ("<article><p>a <span hidden>b</span> c<!-- d > --> e</p><div style='display: none'>f</div><article class=\"comment\">g</article></article>", "a c e"),
     ("a < b &lt;p&gt; <p title='>'>c", "a < b <p>\n\nc"),
     ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),
     ("<div role=main><p>a</p></div><p>b</p>", "a"),
@@ -33,6 +33,15 @@ CASES = [
     ("<div class='page has-sidebar elementor-widget'><article class='post social'>a<math>x = y</math></article></div>", "ax = y"),
     ("<form><nav>n</nav><article>a<aside>s</aside></article></form>", "a"),
     ("<div class='sidebar'><article>teaser</article></div><article>a</article>", "a"),
+    ("<div class=content><p>body</div><section class='comments'><article><p>nice post</article></section>", "body"),
+    ("<div class=content><p>body</div><aside><article>teaser</article></aside>", "body"),
+    ("<div class=content><p>body</div><div id=comments><article>c1</article><article>c2</article></div>", "body"),
+    ("<div id=comments class=x><article>c1</article></div>", ""),
+    ("<ol class='comment-list'><li><article>c1</article></ol>", ""),
+    ("<div class='sidebar'><article>teaser</article></div><p>body", "body"),
+    ("<div class='sidebar'><article>all there is</article></div>", "all there is"),
+    ("<article><p>a <span class='ad'>buy</span> b<p>c <span class=ad>buy <b>now</b></span></article>", "a b\n\nc"),
+    ("<article><p>a <span class=ad>x<p>y</span> z<p>b</article>", "a\n\nz\n\nb"),
     ("<article><ul id=related-comments><li>r</ul><div class='newsletter-signup'>n</div><p>a", "a"),
 ]
 

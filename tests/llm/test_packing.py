@@ -24,6 +24,21 @@ def test_word_ids_equal_the_library():
     assert [x.tolist() for x in tokens.Encoder(WORDS).ids(texts)] == want
 
 
+def test_lower_case_that_undoes_normal_form():
+    texts = [f"x{base}{chr(mark)} y" for base in "İIÅ" for mark in range(0x300, 0x370)] + ["İ" + "".join(map(chr, marks)) for marks in ((0x327, 0x301), (0x301, 0x327), (0x331, 0x345))]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.Encoder(WORDS).ids(texts)] == want
+
+
+def test_random_texts_equal_the_library():
+    rng = random.Random(3)
+    signs = [*"ab İıIŒſKÅΣσς'12.\n", *map(chr, range(0x300, 0x345)), "ǅ", "ẞ", "漢", "한", "ά", "ʼ", "\u1fb7"]
+    library, encoder = Tokenizer.from_file(WORDS), tokens.Encoder(WORDS)
+    for _ in range(20):
+        texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(5000)]
+        assert [x.tolist() for x in encoder.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_spaced_words_equal_the_library():
     texts = [t for t in [t or "" for t in ODD] + TRICKY + noise(800) if not tokens.odd(t)]
     words, inverse, bounds = tokens.distinct_words(texts, spaced=True)

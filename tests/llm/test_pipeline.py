@@ -62,3 +62,18 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_chained_before_anything_is_written(spark, tmp_path):
+    """With columns beyond those of documents, some of clashing names; two chains at once do not meet."""
+    rows = [(i, t, "en", "s", len(t or ""), "x", i, 0.5) for i, t in enumerate(corpus())]
+    docs = spark.createDataFrame(rows, SCHEMA + ", rest string, block int, kept double")
+    labels = spark.createDataFrame([(i + len(ODD), int(i % 7 != 3), 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    chained = docs
+    for _, stage in corpus_pipeline.STAGES:
+        chained = stage(spark, chained, str(tmp_path))
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    place = lambda df: sorted((r.doc_id, r.piece, r.length) for r in df.collect())
+    assert place(chained) == place(ran) and place(ran)
