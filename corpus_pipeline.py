@@ -1,7 +1,9 @@
 """A training corpus in five stages: quality rules, line dedup, near-dedup, substring dedup, packing.
 
 Each stage is a function of (spark, docs, sf_dir); run() writes each result as Parquet, reads it again and hands it to
-the next stage as docs. All but the last return the columns of documents; n_chars follows the text.
+the next stage as docs. All but the last return the columns of documents; n_chars follows the text. A stage's scratch
+tables belong to its caller: run() drops those of a stage once its result is written, and what a stage called without any
+makes stays, so stages can also be chained before anything is written.
 
 Cases: a null text is empty, and quality_rules rejects it, as it does all texts of under 20 words. Null ids, sources and
 languages stay null; rows without an id stand last. Of repeated rows near_dedup keeps one, of rows that only share an id
@@ -27,17 +29,6 @@ from corvane.llm.substrings import repeated_spans
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-_held: list[Scratch] = []  # of the pipeline's own stages
-
-
-def _scratch(spark: SparkSession) -> Scratch:
-    """A stage's own scratch tables; those of the stages before, whose results are written, go."""
-    while _held:
-        _held.pop().release()
-    _held.append(Scratch(spark))
-    return _held[-1]
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     """Null texts become empty."""
     return docs.select(*COLUMNS).withColumn("text", F.coalesce("text", F.lit("")))
@@ -49,32 +40,32 @@ def _unpacked(df: DataFrame) -> DataFrame:
     return out.select(*COLUMNS)
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Documents that fail the base rules or the classifier go."""
     docs = _texts(docs)
     model = fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return judge(docs, model).where("kept").select(*COLUMNS)
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Lines go that repeat an earlier one, those of five words or more within one edited word."""
-    return _unpacked(deduplicate_lines(_texts(docs), _scratch(spark)))
+    return _unpacked(deduplicate_lines(_texts(docs), scratch or Scratch(spark)))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Of documents linked by SimHash, or by a Jaccard similarity of 0.8 or more, of five-word shingles one stays."""
-    return keep_one(_texts(docs), scratch=_scratch(spark))
+    return keep_one(_texts(docs), scratch=scratch or Scratch(spark))
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Text goes that a string of 100 bytes covers which starts earlier."""
     return _unpacked(repeated_spans(_texts(docs), with_text=True))
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
     pieces = tokenised_pieces(_texts(docs), public_tokenizers.path("word_bpe_49k.json"))
-    return place(_scratch(spark).table(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
+    return place((scratch or Scratch(spark)).table(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
 STAGES = [
@@ -93,11 +84,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     root, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        scratch = Scratch(spark)
+        stage(spark, docs, sf_dir, scratch).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        scratch.release()
         if before:  # only the last stage's rows are read from here on
             delete(spark, f"{root}/{before}")
         before = name
-    while _held:
-        _held.pop().release()
     return docs
