@@ -3,8 +3,8 @@
 Both read a blank and the text. A segment begins at a blank or line feed that follows something other than white space;
 neither tokenizer forms a token across such a place (`parts_at_blanks` looks that up in the second one's vocabulary; the
 first one's pattern splits there), so each distinct segment is encoded and merged once while a worker holds it. The
-merge runs two pointers over the cumulative ends of both sides' tokens; where they meet, a group ends. A document's
-groups, links and digest follow from its segments.
+merge runs two pointers over the cumulative ends of both sides' tokens, for many segments in one go; where they meet, a
+group ends. A document's groups, links and digest follow from its segments.
 
 mapInPandas emits a row for each document, with its distinct pairs packed, and for each block of texts its distinct pairs
 with the number of documents; both are written once. Spark sums the pairs over all blocks, finds each id's highest count
@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,12 +34,14 @@ from pyspark.sql import functions as F
 from corvane.llm.blocks import pack, unpack
 from corvane.llm.bpe import pieces
 from corvane.llm.common import Scratch, give_back, id_text, read
+from corvane.llm.tokens import gather
 
 BLOCK_BYTES = 8 << 20
 HELD_SEGMENTS, HELD_BYTES = 400_000, 32 << 20  # of a worker; a slice with more holds its own only
 BLANK = "▁"
 #: Pairs of ids as one number, by the second vocabulary's greatest size.
 SECOND = 1 << 15
+LARGE = 4096  # links of a group
 
 
 @lru_cache(1)
@@ -85,84 +87,116 @@ def segment_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def merged(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups between places where tokens of both sides end."""
-    groups, i, j, from_a, from_b = [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            groups.append((a[from_a:i], b[from_b:j]))
-            from_a, from_b = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-    return groups
-
-
-def linked(groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """How often each pair of ids is linked."""
-    found: dict[int, int] = {}
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            pair = a[0] * SECOND + b[0]
-            found[pair] = found.get(pair, 0) + 1
-        else:
-            times_b = Counter(b).items()
-            for x, n in Counter(a).items():
-                for y, m in times_b:
-                    found[x * SECOND + y] = found.get(x * SECOND + y, 0) + n * m
-    return found
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """The ends of the groups: where tokens of both sides end. Each pointer skips the ends that the other does not meet."""
+    at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    return ends_a[ends_b[at] == ends_a] if len(ends_b) else ends_a[:0]
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a large group, and how often each is linked."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    return (x[:, None] * SECOND + y).ravel(), (n[:, None] * m).ravel()
+
+
+def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of runs of these sizes, empty ones included."""
+    ends = np.cumsum(sizes)
+    total = np.append(0, np.cumsum(values))
+    return total[ends] - total[ends - sizes]
+
+
+def first_last(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum(sizes)
+    return ends - sizes, ends
+
+
+def together(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 class Aligner:
     """Encodes and merges segments; a distinct one once while it is held."""
 
     def __init__(self, first: str, second: str):
-        self.paths, self.a, (self.b, self.pieces_b) = (first, second), first_side(first), second_side(second)
+        self.paths, self.a, (self.b, pieces_b) = (first, second), first_side(first), second_side(second)
         table, begins = pieces(first)
-        raw = table.tobytes()
-        self.pieces_a = [raw[x:y] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        self.pieces_a = table, np.diff(begins)
+        self.pieces_b = np.frombuffer(b"".join(pieces_b), np.uint8), np.fromiter(map(len, pieces_b), np.int64, len(pieces_b))
+        numbers = [b"%d," % i for i in range(max(len(begins) - 1, len(pieces_b)))]
+        self.written = np.frombuffer(b"".join(numbers), np.uint8), np.fromiter(map(len, numbers), np.int64, len(numbers))
         self.blank = self.b.piece_to_id(BLANK)
         self.forget()
 
     def forget(self) -> None:
         self.places: dict[bytes, int] = {}
         self.bytes = 0
-        self.texts: list[str] = []
         self.numbers = np.zeros((0, 5), np.int64)  # tokens of either side, groups, links, whether they give the segment back
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.int64)
+        self.begin, self.size, self.pairs, self.times = nothing, nothing, nothing, nothing
+        self.texts, self.text_size = np.zeros(0, np.uint8), nothing  # the groups as written, each with ; after it
 
     def _second(self, segments: list[bytes]) -> list[list[int]]:
         """The tokenizer puts a blank before what it reads: that of the segment, or one more, which goes."""
         fed = [(s[1:] if s.startswith(b" ") else s).decode() for s in segments]
         return [ids[1:] if s.startswith(b"\n") else ids or [self.blank] for s, ids in zip(segments, self.b.encode(fed, num_threads=1))]
 
+    @staticmethod
+    def _given_back(ids: np.ndarray, sizes: np.ndarray, table: tuple[np.ndarray, np.ndarray], raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are the segment."""
+        same = summed(table[1][ids], sizes) == lengths
+        data, _ = gather(ids[np.repeat(same, sizes)], table[1], table[0])
+        wrong = np.flatnonzero(data != raw[np.repeat(same, lengths)])
+        same[np.flatnonzero(same)[np.searchsorted(np.cumsum(lengths[same]), wrong, "right")]] = False
+        return same
+
     def _hold(self, segments: list[bytes]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)]
-        numbers, sizes, pairs, times = [], [], [], []
-        for s, a, b in zip(segments, ids_a, self._second(segments)):
-            parts_a, parts_b = [self.pieces_a[i] for i in a], [self.pieces_b[i] for i in b]
-            good = b"".join(parts_a) == s == b"".join(parts_b)
-            if not good:
-                groups = []
-            elif len(a) == 1 or len(b) == 1:
-                groups = [(a, b)]
-            else:
-                groups = merged(a, b, np.cumsum([len(p) for p in parts_a]).tolist(), np.cumsum([len(p) for p in parts_b]).tolist())
-            found = linked(groups)
-            self.texts.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-            numbers.append((len(a), len(b), len(groups), sum(found.values()), good))
-            sizes.append(len(found))
-            pairs.extend(found), times.extend(found.values())
-            self.places[s] = len(self.places)
-            self.bytes += len(s)
-        size = np.array(sizes, np.int64)
+        lists = [e.ids for e in self.a.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)], self._second(segments)
+        (n_a, n_b) = (np.fromiter(map(len, x), np.int64, len(x)) for x in lists)
+        (a, b) = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip(lists, (n_a, n_b)))
+        raw, lengths = np.frombuffer(b"".join(segments), np.uint8), np.fromiter(map(len, segments), np.int64, len(segments))
+        good = self._given_back(a, n_a, self.pieces_a, raw, lengths) & self._given_back(b, n_b, self.pieces_b, raw, lengths)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        ends_a, ends_b = np.cumsum(self.pieces_a[1][a]), np.cumsum(self.pieces_b[1][b])
+        ends = merged(ends_a, ends_b)
+        of_a, of_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        in_a, in_b = np.bincount(of_a, minlength=len(ends)), np.bincount(of_b, minlength=len(ends))
+        segment = np.flatnonzero(good)[np.searchsorted(np.cumsum(lengths[good]), ends)]
+        groups = np.bincount(segment, minlength=len(segments))
+        links = summed(in_a * in_b, groups)
+        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, groups, links, good], axis=1)])
+
+        # Written out: of each group the ids of one side, then of the other.
+        (first_a, last_a), (first_b, last_b) = first_last(in_a), first_last(in_b)
+        place_a, place_b = np.arange(len(a)) + first_b[of_a], np.arange(len(b)) + last_a[of_b]
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        mark[place_a[last_a - 1]], mark[place_b[last_b - 1]] = ord("|"), ord(";")
+        text, at = gather(ids, self.written[1], self.written[0])
+        text[at[1:] - 1] = mark
+        self.texts = np.concatenate([self.texts, text])
+        self.text_size = np.concatenate([self.text_size, summed(self.written[1][ids], summed(in_a + in_b, groups))])
+
+        # Linked pairs: one by one in small groups, by distinct ids in large ones.
+        large = np.flatnonzero(in_a * in_b > LARGE)
+        times = np.where(np.isin(of_a, large), 0, in_b[of_a])
+        mine = np.repeat(np.arange(len(a)), times)
+        other = np.arange(len(mine)) - np.repeat(np.cumsum(times) - times, times) + first_b[of_a[mine]]
+        keys, counts = [segment[of_a[mine]] << 32 | (a[mine] * SECOND + b[other])], [np.ones(len(mine), np.int64)]
+        for g in large.tolist():
+            pairs, n = linked(a[first_a[g] : last_a[g]], b[first_b[g] : last_b[g]])
+            keys.append(segment[g] << 32 | pairs), counts.append(n)
+        key, n = together(np.concatenate(keys), np.concatenate(counts))
+        size = np.bincount(key >> 32, minlength=len(segments))
         self.begin = np.concatenate([self.begin, len(self.pairs) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 5)])
-        self.pairs, self.times = np.concatenate([self.pairs, np.array(pairs, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
+        self.pairs, self.times = np.concatenate([self.pairs, key & 0xFFFFFFFF]), np.concatenate([self.times, n])
+        self.places.update(zip(segments, range(len(self.places), len(self.places) + len(segments))))
+        self.bytes += len(raw)
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """For each text its numbers (tokens of either side, groups, links) and digest; and by text, from bounds[i] to
@@ -177,28 +211,25 @@ class Aligner:
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         segments = coded.dictionary.to_pylist()
         new = [s for s in segments if s not in self.places]
-        for at in range(0, len(new), 2000):
-            self._hold(new[at : at + 2000])
+        for at in range(0, len(new), 20_000):
+            self._hold(new[at : at + 20_000])
         place = np.fromiter(map(self.places.__getitem__, segments), np.int64, len(segments))[coded.indices.to_numpy()]
         bounds = np.append(np.searchsorted(starts, text_starts), len(starts))
         numbers = np.add.reduceat(self.numbers[place], bounds[:-1]) if len(texts) else np.zeros((0, 5), np.int64)
         good = (numbers[:, 4] == np.diff(bounds)) & np.array([len(r) > 1 for r in raw], bool)
         numbers = numbers[:, :4] * good[:, None]
-        digests, held, listed = [], self.texts, place.tolist()
-        for g, a, b in zip(good.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-            digests.append(hashlib.sha256(";".join([held[i] for i in listed[a:b]]).encode()).hexdigest() if g else "")
+        text, at = gather(place, self.text_size, self.texts)
+        text, at = memoryview(text), at[bounds].tolist()
+        digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if g else "" for g, x, y in zip(good.tolist(), at, at[1:])]
         # The distinct segments of each text, then their pairs.
         of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        seg, n = np.unique((of * len(self.texts) + place)[good[of]], return_counts=True)
-        of, place = seg // max(1, len(self.texts)), seg % max(1, len(self.texts))
+        seg, n = np.unique((of * len(self.places) + place)[good[of]], return_counts=True)
+        of, place = np.divmod(seg, max(1, len(self.places)))
         size = self.size[place]
         ends = np.cumsum(size)
         at = np.repeat(self.begin[place] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         key = (np.repeat(of, size) << 32) | self.pairs[at]  # both vocabularies together need 31 bits
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], (np.repeat(n, size) * self.times[at])[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        key, times = key[first], np.add.reduceat(times, first) if len(first) else times
+        key, times = together(key, np.repeat(n, size) * self.times[at])
         return numbers, digests, np.searchsorted(key, np.arange(len(texts) + 1) << 32), key & 0xFFFFFFFF, times
 
 

@@ -4,13 +4,14 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from fixtures_docs import ODD, documents, odd_documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corvane.llm.alignment import SCORED, align, linked, merged
+from corvane.llm.alignment import SCORED, Aligner, align, linked, merged
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -93,6 +94,16 @@ def test_pairs_have_the_highest_counts_of_both_sides(spark):
 
 
 def test_groups_of_many_tokens_link_by_distinct_ids():
-    assert merged([1, 2, 3], [4, 5], [1, 3, 4], [3, 4]) == [([1, 2], [4]), ([3], [5])]
-    found = linked([([7] * 1000 + [8], [9] * 2000)])
-    assert found == {7 * (1 << 15) + 9: 2_000_000, 8 * (1 << 15) + 9: 2000}
+    assert merged(np.array([1, 3, 4]), np.array([3, 4])).tolist() == [3, 4]
+    pairs, n = linked(np.array([7] * 1000 + [8]), np.array([9] * 2000))
+    assert dict(zip(pairs.tolist(), n.tolist())) == {7 * (1 << 15) + 9: 2_000_000, 8 * (1 << 15) + 9: 2000}
+
+
+def test_large_groups_equal_small_ones(spark, monkeypatch):
+    texts = [t for t in HARD if t] * 2
+    want = got(documents(spark, texts))
+    aligner = Aligner(A, B)
+    one = aligner.align(texts)
+    monkeypatch.setattr("corvane.llm.alignment.LARGE", 0)
+    other = Aligner(A, B).align(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(one, other)) and [w[1][0] for w in want] and len(want) == len(texts)
