@@ -79,6 +79,38 @@ class EnsembleConfig:
         return [float(m.get("weight", 1.0)) for m in self.members]
 
 
+#: The names that training settings have in a document, and here.
+FIT_NAMES = {
+    "epochs": "epochs", "lr": "lr", "optimizer": "optimizer", "weight_decay": "weight_decay", "scheduler": "scheduler",
+    "label_smoothing": "smoothing", "class_weighted_loss": "weighted", "early_stopping_patience": "patience", "best_metric": "best_metric",
+    "steps": "steps",
+}
+
+
+@dataclass(frozen=True)
+class TrainConfig:
+    run_name: str
+    processed_root: str
+    manifest_dir: str
+    class_to_idx: str
+    output_root: str
+    seed: int
+    fit: dict
+    features: str = "bytes"
+
+    @classmethod
+    def from_dict(cls, raw: dict) -> TrainConfig:
+        given, data = raw["train"], raw["dataset"]
+        fit = {FIT_NAMES[k]: v for k, v in given.items() if k in FIT_NAMES}
+        for k in ("lr", "weight_decay", "smoothing"):
+            if k in fit:
+                fit[k] = float(fit[k])
+        return cls(
+            raw["run_name"], data["processed_root"], data["manifest_dir"], data["class_to_idx"], raw["output_root"], int(raw["seed"]), fit,
+            raw.get("model", {}).get("features", "bytes"),
+        )
+
+
 def check_inference_arguments(images: list[str], run_dir: str | None, ensemble: str | None, top_k: int) -> None:
     if not images:
         raise ValueError("give an image or a folder of images")

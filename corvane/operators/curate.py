@@ -113,11 +113,12 @@ def with_class_index(manifest: DataFrame, index: DataFrame) -> DataFrame:
     return manifest.join(F.broadcast(index), "class_name", "left")  # one row a class
 
 
-def with_processed_path(manifest: DataFrame, buckets: int = 128) -> DataFrame:
+def with_processed_path(manifest: DataFrame, buckets: int = 128, paths: DataFrame | None = None) -> DataFrame:
     """Adds processed_rel_path: a number from 1 within split and class, in the order of src_path.
 
-    Ordered buckets between sampled paths divide each class, whatever the paths begin with."""
-    bounds = sampled_bounds(manifest, "src_path", buckets)
+    Ordered buckets between sampled paths divide each class, whatever the paths begin with. `paths`: a written table with
+    the manifest's src_path to sample from, so that the manifest is not computed for that."""
+    bounds = sampled_bounds(manifest if paths is None else paths, "src_path", buckets)
     out = ranked(manifest, "_ordinal", ["split", "class_name"], [F.col("src_path")], bucket_between(F.col("src_path"), bounds))
     path = numbered_path(F.col("split"), F.col("class_name"), F.col("_ordinal"), suffix(F.col("raw_rel_path")))
     return out.withColumn("processed_rel_path", path).drop("_ordinal")

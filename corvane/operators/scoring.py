@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -67,6 +68,14 @@ def ensemble_members(members: list[DataFrame], weights: list[float], normalize:
     return joined.select(key, ensemble([F.col(f"_p{i}") for i in range(len(members))], weights, normalize).alias("probs"))
 
 
+def store_member(scores: DataFrame, path: str, buckets: int, key: str = "path") -> DataFrame:
+    """Scores of a member written in buckets of the key, sorted by it. Members stored in equally many buckets join bucket
+    by bucket: once written, no ensemble of them shuffles a row."""
+    name = f"member_{uuid.uuid4().hex}"
+    scores.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    return scores.sparkSession.table(name)
+
+
 def predictions(rows: DataFrame, names: list[str]) -> DataFrame:
     """(path, true_idx, probs) to the table of predictions, probs kept as the last column."""
     p = F.col("probs")

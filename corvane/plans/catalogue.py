@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import class_code, has_suffix, suffix
@@ -470,9 +470,12 @@ def best_checkpoint(spark, d) -> DataFrame:
     return training.best_checkpoint(history(spark, d), "accuracy", 5).select("best_epoch", micro(F.col("best_metric")).alias("best_micro"), "last_epoch")
 
 
-@query("SELECT CAST(i AS BIGINT) AS epoch, CAST(floor(0.5 * 0.001 * (1 + cos(pi() * i / 40)) * 1000000000 + 0.5) AS BIGINT) AS lr_nano FROM generate_series(1, 40) t(i)")
+@query(f"""WITH {HISTORY_SQL}, n AS (SELECT max(epoch) AS n FROM history)
+SELECT epoch, CAST(floor(0.5 * 0.001 * (1 + cos(pi() * epoch / n)) * 1000000000 + 0.5) AS BIGINT) AS lr_nano FROM history, n""")
 def cosine_lr_schedule(spark, d) -> DataFrame:
-    return training.schedule(spark, 0.001, 40).select("epoch", F.floor(F.col("lr") * 1e9 + 0.5).cast("long").alias("lr_nano"))
+    """The rate recorded in each epoch of the history."""
+    rows = history(spark, d).select("epoch").withColumn("n", F.max("epoch").over(Window.partitionBy()))  # a row an epoch
+    return rows.select("epoch", F.floor(training.cosine_lr(F.col("epoch"), 0.001, F.col("n")) * 1e9 + 0.5).cast("long").alias("lr_nano"))
 
 
 @query(f"""WITH {HISTORY_SQL} SELECT epoch, tag, {_micro_sql("CASE tag WHEN 'accuracy' THEN accuracy WHEN 'train_loss' THEN train_loss ELSE val_loss END")} AS value_micro
@@ -487,3 +490,86 @@ def chart_loss_curve(spark, d) -> DataFrame:
     return training.curves(history(spark, d)).select("epoch", "tag", micro(F.col("value")).alias("value_micro"))
 
 
+
+
+# ---- a trained classifier -------------------------------------------------------------------------------------------
+
+WIDTH, EPOCHS, RATE, SMOOTHING, DECAY = 64, 4, 0.5, 0.1, 0.01
+
+
+def _fit_sql() -> str:
+    """Gradient descent with momentum 0.9, one step an epoch, unrolled: weights (k, j, w, v), features in long form."""
+    parts = [
+        f"""e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, vec_id % 5 = 0 AS held, CAST(embedding AS DOUBLE[]) || [1.0] AS x
+  FROM embeddings WHERE label BETWEEN 0 AND {K - 1})""",
+        f"x AS (SELECT vec_id, held, label, unnest(x) AS x, unnest(range(1, {WIDTH + 2})) AS j FROM e)",
+        f"""cw AS (SELECT k, (SELECT count(*) FROM e WHERE NOT held) / CAST({K} * greatest(1, (SELECT count(*) FROM e WHERE NOT held AND label = k)) AS DOUBLE) AS c
+  FROM range({K}) t(k))""",
+        f"w0 AS (SELECT k, j, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS v FROM range({K}) t(k), range(1, {WIDTH + 2}) s(j))",
+    ]
+    for n in range(1, EPOCHS + 1):
+        rate = f"(0.5 * {RATE} * (1 + cos(pi() * {n - 1} / {EPOCHS})))"
+        for when, of, w in (("t", "NOT held", n - 1), ("h", "held", n)):
+            parts += [
+                f"z{when}{n} AS (SELECT vec_id, label, k, sum(x * w) AS z FROM x JOIN w{w} USING (j) WHERE {of} GROUP BY ALL)",
+                f"m{when}{n} AS (SELECT vec_id, label, k, z, z - max(z) OVER r - ln(sum(exp(z - m)) OVER r) AS lp FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z{when}{n}) WINDOW r AS (PARTITION BY vec_id))",
+                f"a{when}{n} AS (SELECT vec_id, label, k, z, lp, c * ({SMOOTHING} / {K} + CASE WHEN k = label THEN 1 - {SMOOTHING} ELSE 0 END) AS aim, CASE WHEN k = label THEN c ELSE 0 END AS own FROM m{when}{n} JOIN cw USING (k))",
+                f"l{when}{n} AS (SELECT -sum(aim * lp) / sum(own) AS loss FROM a{when}{n})",
+            ]
+            if when == "t":
+                parts += [
+                    f"d{n} AS (SELECT vec_id, k, exp(lp) * sum(aim) OVER (PARTITION BY vec_id) - aim AS d FROM at{n})",
+                    f"g{n} AS (SELECT k, j, sum(d * x) / (SELECT sum(own) FROM at{n}) AS g FROM d{n} JOIN x USING (vec_id) GROUP BY ALL)",
+                    f"w{n} AS (SELECT k, j, w - {rate} * nv AS w, nv AS v FROM (SELECT k, j, w, 0.9 * v + g + {DECAY} * w AS nv FROM w{n - 1} JOIN g{n} USING (k, j)))",
+                ]
+        parts.append(f"r{n} AS (SELECT avg(CASE WHEN k = label THEN 1.0 ELSE 0.0 END) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, k) AS r FROM zh{n}) WHERE r = 1)")
+    rows = [
+        f"SELECT CAST({n} AS BIGINT) AS epoch, {_micro_sql(f'(SELECT loss FROM lt{n})')} AS train_loss, {_micro_sql(f'(SELECT loss FROM lh{n})')} AS val_loss, "
+        f"{_micro_sql(f'(SELECT accuracy FROM r{n})')} AS accuracy, {_micro_sql(f'0.5 * {RATE} * (1 + cos(pi() * {n} / {EPOCHS}))')} AS lr"
+        for n in range(1, EPOCHS + 1)
+    ]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+def _fitted(spark, d):
+    """All labelled embeddings: a fifth is held out to choose the best epoch."""
+    from corvane import fitting
+
+    rows = read(spark, d, "embeddings").where(f"label between 0 and {K - 1}").select("vec_id", F.col("embedding").alias("features"), "label")
+    settings = fitting.Settings(EPOCHS, RATE, K, WIDTH, "sgd", DECAY, smoothing=SMOOTHING, weighted=True, best_metric="accuracy")
+    return fitting.fit(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), settings)
+
+
+@query(_fit_sql())
+def training_history(spark, d) -> DataFrame:
+    """Each epoch of a classifier trained on the embeddings."""
+    rows = [tuple(r[c] for c in ("epoch", "train_loss", "val_loss", "accuracy", "lr")) for r in _fitted(spark, d).history]
+    df = spark.createDataFrame(rows, "epoch bigint, train_loss double, val_loss double, accuracy double, lr double")
+    return df.select("epoch", *(micro(F.col(c)).alias(c) for c in df.columns[1:]))
+
+
+
+@query(f"""WITH {member_sql('m')}, s AS (SELECT path, list_transform(z, lambda v: 2 * v) AS z FROM m_z),
+e AS (SELECT path, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM s),
+p AS (SELECT path, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e)
+SELECT path, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS pred_idx, {_micro_sql('list_max(p)')} AS confidence FROM p""")
+def external_scorer(spark, d) -> DataFrame:
+    """A scorer that a module outside the registry makes, with an artefact shipped to the workers."""
+    from corvane import models
+    from corvane.functions.vectors import argmax, softmax
+    from corvane.sources.store import Store
+
+    folder = _shared(spark, "run")
+    Store(spark).save_json({"scale": 2.0}, f"{folder}/scale.json")
+    one = models.scorer(spark, {"factory": "corvane.plans.fixtures:scaled_scorer", "artifacts": {"settings": "scale.json"}}, folder)
+    rows = models.score_all(member(spark, d).select("path", F.col("logits").alias("z")), [one], drop=("z",))
+    p = softmax(F.get("logits", F.lit(0)))
+    return rows.select("path", argmax(p).cast("long").alias("pred_idx"), micro(F.array_max(p)).alias("confidence"))
+
+
+@query(_ORACLE["ensemble_predictions"])
+def ensemble_bucketed(spark, d) -> DataFrame:
+    """The same ensemble from members stored by path: the join shuffles nothing."""
+    stored = [scoring.store_member(member(spark, d, start).select("path", "true_idx", "probs"), _shared(spark, "member"), 8) for start in (1, 11)]
+    out = scoring.ensemble_members(stored, [0.5, 0.5], False).join(stored[0].select("path", "true_idx"), "path")
+    return _ensemble_rows(scoring.predictions(out, NAMES))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +80,9 @@ HISTORY_SQL = """history AS (
          sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS train_loss,
          sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS val_loss
   FROM events GROUP BY 1)"""
+
+
+def scaled_scorer(settings: str):
+    """A scorer from outside the registry: its artefact says what to multiply the column z by."""
+    scale = json.loads(Path(settings).read_text())["scale"]
+    return lambda frame: [[scale * v for v in z] for z in frame["z"]]

@@ -111,7 +111,11 @@ def test_settings():
         training.schedule(None, 0.1, 3, "step")
 
 
-JPEG = bytes.fromhex("FFD8FFE0") + b"x" * 20
+def jpeg(body: bytes) -> bytes:
+    """The least whole file of its structure, with a comment."""
+    comment = b"\xff\xfe" + (len(body) + 2).to_bytes(2) + body
+    frame = bytes.fromhex("FFC0000B080001000101011100")
+    return b"\xff\xd8" + comment + frame + bytes.fromhex("FFDA0008010100003F00") + b"\x12\xff\x00\x34" + b"\xff\xd9"
 
 
 def tree(root):
@@ -120,7 +124,7 @@ def tree(root):
     for name, body in names.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(JPEG + body)
+        path.write_bytes(jpeg(body))
     (root / "b.柱" / "bad.jpg").write_bytes(b"not an image")
     return names
 
@@ -145,8 +149,7 @@ def test_prepare_of_a_tree(spark, tmp_path):
     assert sum(counts.values()) == 25  # with bad.jpg, without the two that contradict each other
     manifest = spark.read.parquet(f"{cfg.manifest_dir}/d").collect()
     assert len({r.processed_rel_path for r in manifest}) == 25
-    parts = sorted(Path(cfg.audit_dir, "cross_class_duplicates").glob("part-*"))
-    rows = [line for p in parts for line in csv.DictReader(p.open(encoding="utf-8"))]
+    rows = list(csv.DictReader(Path(cfg.audit_dir, "cross_class_duplicates.csv").open(encoding="utf-8-sig")))
     keys = [(r["sha256"], r["class_name"], r["src_path"]) for r in rows]
     assert len(keys) == 2 and keys == sorted(keys)
     splits = {}
@@ -166,7 +169,7 @@ def test_prepare_of_a_tree(spark, tmp_path):
 
 def test_prepare_of_nothing(spark, tmp_path):
     (tmp_path / "raw").mkdir()
-    (tmp_path / "raw" / "x.jpg").write_bytes(JPEG)
+    (tmp_path / "raw" / "x.jpg").write_bytes(jpeg(b""))
     with pytest.raises(ValueError, match="no file of a known class"):
         cli.run_prepare(spark, config(tmp_path))
 
@@ -211,7 +214,7 @@ def test_evaluate_ensemble_and_charts(spark, tmp_path):
     cfg = config(tmp_path)
     counts = cli.run_prepare(spark, cfg)
     run = run_folder(tmp_path / "run")
-    members = [jobs.load_member(run), jobs.load_member(run_folder(tmp_path / "other", 9.0), 2.0)]
+    members = [jobs.load_member(spark, run), jobs.load_member(spark, run_folder(tmp_path / "other", 9.0), 2.0)]
     got = jobs.evaluate(spark, members, f"{cfg.manifest_dir}/d", cfg.processed_root, ["train", "test"], run)
     predicted = spark.read.parquet(f"{run}/predictions/train").collect()
     assert len(predicted) == sum(n for (s, _), n in counts.items() if s == "train")
@@ -229,7 +232,7 @@ def test_evaluate_ensemble_and_charts(spark, tmp_path):
 
 def test_inference_of_a_bag(spark, tmp_path):
     tree(tmp_path / "raw")
-    members = [jobs.load_member(run_folder(tmp_path / "a")), jobs.load_member(run_folder(tmp_path / "b", 9.0), 3.0)]
+    members = [jobs.load_member(spark, run_folder(tmp_path / "a")), jobs.load_member(spark, run_folder(tmp_path / "b", 9.0), 3.0)]
     one = str(next((tmp_path / "raw").rglob("bad.jpg")))
     rows = jobs.infer(spark, members, [one, one], str(tmp_path / "raw"), 5, str(tmp_path / "out.csv")).collect()
     assert sum(r.image == one for r in rows) == 3
@@ -239,7 +242,7 @@ def test_inference_of_a_bag(spark, tmp_path):
 def test_best_epoch_and_curves_of_a_run(spark, tmp_path):
     (tmp_path / "history.csv").write_text("epoch,train_loss,val_loss,lr,accuracy\n1,3,3,.1,.1\n2,2,2,.1,.3\n3,1,2,.1,.2\n4,1,2,.1,.3\n5,1,2,.1,.5\n")
     best = jobs.best_summary(spark, str(tmp_path), "accuracy", 2)
-    assert best == files.load_json(tmp_path / "best_summary.json") == {"best_epoch": 2, "best_metric": 0.3, "last_epoch": 4}
+    assert best | {"best_metric_name": "accuracy"} == files.load_json(tmp_path / "best_summary.json") == {"best_epoch": 2, "best_metric": 0.3, "last_epoch": 4, "best_metric_name": "accuracy"}
     assert jobs.chart_tables(spark, str(tmp_path)) == [] and (tmp_path / "figures/loss_curve.csv").exists()
 
 
