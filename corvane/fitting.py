@@ -164,7 +164,7 @@ def fit(train: DataFrame, val: DataFrame, settings: Settings, bucket_dir: str |
         if not rows:
             raise ValueError("no training row has a label and features")
         seen = sums(val, s, w, class_weights, learn=False)
-        row = {"epoch": epoch, "train_loss": loss / rows, "val_loss": seen[0] / seen[1] if seen[1] else math.nan, "lr": s.rate(epoch)}
+        row = {"epoch": epoch, "train_loss": float(loss / rows), "val_loss": float(seen[0] / seen[1]) if seen[1] else math.nan, "lr": s.rate(epoch)}
         row |= measured(spark, seen[3:].reshape(s.classes, s.classes))
         out.history.append(row)
         out.last = w
