@@ -7,10 +7,13 @@ part or article that stands within something left out counts where the page hold
 sidebar's class wraps the whole page; never one in reader comments, a menu, a footer or an aside. An element left out
 within a line takes its text away and does not part the block.
 
-The remaining blocks, those outside any article, form the page's token stream. Streams are concatenated by host; a
+Inside an article a class or id that may well be its own ("related", "notice") or that only partly tells ("ad-slot") is
+a hint: such blocks join the page's token stream, and what of them repeats on the host goes, the rest stays.
+
+The blocks outside any article form the page's token stream. Streams are concatenated by host; a
 string of LEAST tokens that stands on two distinct pages of the host is boilerplate. Where a page marks no article, its
 text is what boilerplate does not cover: the unique runs. (Marked articles are not judged by repetition: two pages may
-carry the same article, and both are to have its text.)
+carry the same article, and both are to have its text; only hinted blocks within them are.)
 
 No task holds a host: runs of windows with one least hashed token go to the bucket of host and token, where equal runs
 are held once with their least and greatest page, and one suffix array finds what different runs share.
@@ -64,6 +67,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements whose id may say that they are left out, and classes of an article that is a comment.
 NAMED = {"div", "ol", "section", "span", "table", "ul"}
+#: Names of things left out that an article may well give to parts of its own.
+OWN_NAMES = set("alert banner login menu notice notices overlay promo promotion recommended recommendations related share sharing social sponsor subscribe subscription toolbar widget".split())
 NO_WRAPPER = {"aside", "dialog", "footer", "head", "menu", "nav"}
 COMMENT_CLASSES = {"comment", "comments", "disqus", "reply", "replies", "respond"}
 
@@ -86,6 +91,15 @@ def _is_comment(tag: str, attrs: dict[str, str]) -> bool:
     return any(_says_out(n, COMMENT_CLASSES | {"list"}) and n != "list" for n in names)
 
 
+def _hints(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether inside an article only a hint says that the element is left out."""
+    if tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return False
+    names = [*attrs.get("class", "").split(), *([attrs["id"]] if tag in NAMED and "id" in attrs else [])]
+    telling = [n for n in names if _says_out(n)]
+    return all(n in OWN_NAMES for n in telling) if telling else any(w in OUT_CLASSES for n in names for w in re.split(r"[-_]+", n))
+
+
 def _left_out(tag: str, attrs: dict[str, str]) -> bool:
     if tag in OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in OUT_ROLES:
         return True
@@ -98,13 +112,15 @@ def _left_out(tag: str, attrs: dict[str, str]) -> bool:
 
 
 ARTICLE, MAIN, OPEN, GONE, MAIN_ARTICLE, HIDDEN_ARTICLE = range(6)
+HINTED = 8  # beside a kind
 HELD = {"article", "body", "div", "header", "main", "ol", "section", "table", "ul"}  # elements that others may be closed by
 
 
 def blocks(page: str) -> Iterator[tuple[int, str]]:
     """(kind, text) of the page's blocks in order: in an article, in the main part, in an article of it, outside all, left
-    out, or in an article or main part within something left out."""
-    stack: list[list] = []  # tag, left out (2: with all articles in it), article or main, and in a line where its text begins
+    out, or in an article or main part within something left out; with HINTED, if a hint says it is no text."""
+    # tag, left out (2: with all articles in it), article or main, in a line where its text begins, whether a hint says so
+    stack: list[list] = []
     parts: list[str] = []
 
     def block() -> Iterator[tuple[int, str]]:
@@ -123,12 +139,13 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
         main = next((i for i, s in enumerate(over) if s[2]), -1)
         article = tags.index("article") if "article" in tags else -1
         inside = main if article < 0 else article if main < 0 else min(main, article)
-        gone = [i for i, s in enumerate(over) if s[1] or (s[0] == "header" and not 0 <= inside < i)]
+        gone = [i for i, s in enumerate(over) if (s[1] and not (s[4] and 0 <= inside < i)) or (s[0] == "header" and not 0 <= inside < i)]
         if gone and (inside < 0 or gone[-1] >= inside or any(over[i][1] == 2 for i in gone)):
             return GONE
         if inside < 0:
             return OPEN
-        return HIDDEN_ARTICLE if gone else MAIN_ARTICLE if 0 <= main < article else ARTICLE if main < 0 else MAIN
+        hint = HINTED if any(s[4] for s in over[inside + 1 :]) else 0
+        return hint | (HIDDEN_ARTICLE if gone else MAIN_ARTICLE if 0 <= main < article else ARTICLE if main < 0 else MAIN)
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -162,31 +179,51 @@ def blocks(page: str) -> Iterator[tuple[int, str]]:
             stack[:] = [s for s in stack if s[0] != "head"]
         written = m["attrs"] or ""
         attrs = attributes(written) if written else {}
-        gone = int(_left_out(tag, attrs))
+        gone, hint = int(_left_out(tag, attrs)), bool(written) and _hints(tag, attrs)
         if gone and (tag in NO_WRAPPER or attrs.get("role") in OUT_ROLES or _is_comment(tag, attrs)):
             gone = 2
+        if gone and (gone == 2 or tag in OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")):
+            hint = False
+        if hint and not is_block:  # a word or two in a line are the article's, if they stand in one
+            gone, hint = 0 if any(s[0] == "article" or s[2] for s in stack) else gone, False
         body = attrs.get("itemprop") == "articlebody"
-        if (gone or body or tag in HELD or attrs.get("role") == "main") and not written.rstrip().endswith("/"):
-            stack.append([tag, gone, body or tag == "main" or attrs.get("role") == "main", len(parts) if gone and not is_block else None])
+        if (gone or hint or body or tag in HELD or attrs.get("role") == "main") and not written.rstrip().endswith("/"):
+            stack.append([tag, gone, body or tag == "main" or attrs.get("role") == "main", len(parts) if gone and not hint and not is_block else None, hint])
     parts.append(html.unescape(page[last:]))
     yield from block()
 
 
-def marked_text(found: list[tuple[int, str]]) -> str | None:
-    """The text of a page that marks its article or main part; None of one that marks none."""
-    size = {kind: sum(len(t) for k, t in found if k == kind) for kind in (ARTICLE, MAIN, MAIN_ARTICLE, HIDDEN_ARTICLE)}
+def marked_kinds(found: list[tuple[int, str]]) -> tuple[int, ...]:
+    """The kinds of blocks that are the text of a page that marks its article or main part; none for one that does not."""
+    size = {kind: sum(len(t) for k, t in found if k & 7 == kind) for kind in (ARTICLE, MAIN, MAIN_ARTICLE, HIDDEN_ARTICLE)}
     if size[MAIN_ARTICLE] + size[MAIN]:
-        chosen = (MAIN_ARTICLE,) if size[MAIN_ARTICLE] >= size[MAIN] else (MAIN, MAIN_ARTICLE)
-    else:
-        chosen = (ARTICLE,) if size[ARTICLE] else () if any(k == OPEN for k, _ in found) else (HIDDEN_ARTICLE,)
-    texts = [t for k, t in found if k in chosen]
-    return "\n\n".join(texts) if texts else None
+        return (MAIN_ARTICLE,) if size[MAIN_ARTICLE] >= size[MAIN] else (MAIN, MAIN_ARTICLE)
+    if size[ARTICLE]:
+        return (ARTICLE,)
+    return (HIDDEN_ARTICLE,) if size[HIDDEN_ARTICLE] and not any(k == OPEN for k, _ in found) else ()
+
+
+def marked_text(found: list[tuple[int, str]]) -> str | None:
+    """The text of a page that marks its article or main part, hinted blocks included; None of one that marks none."""
+    kinds = marked_kinds(found)
+    return "\n\n".join(t for k, t in found if k & 7 in kinds) if kinds else None
+
+
+def _judged(found: list[tuple[int, str]]) -> tuple[str | None, list[dict]]:
+    """The text that stands as it is, if nothing is left to repetition, and the blocks of the page: those of the token
+    stream, and in a page with hints the sure ones of its article too."""
+    kinds = marked_kinds(found)
+    outside = [{"gone": k == GONE, "sure": False, "text": t} for k, t in found if k in (OPEN, GONE)]
+    if not kinds or not any(k & HINTED and k & 7 in kinds for k, _ in found):
+        return marked_text(found), outside
+    mixed = [{"gone": k & 7 not in kinds, "sure": k in kinds, "text": t} for k, t in found if k in (OPEN, GONE) or k & 7 in kinds]
+    return None, mixed
 
 
 def _stream(host: str, outside: list[dict]) -> tuple[list[str], np.ndarray]:
     """The tokens outside articles, and their hashes with the host's in them."""
     seed = xxhash.xxh64_intdigest(host.encode())
-    tokens = [w for block in outside for w in block["text"].split(" ")]
+    tokens = [w for block in outside if not block["sure"] for w in block["text"].split(" ")]
     return tokens, np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in tokens), np.uint64, len(tokens))
 
 
@@ -200,19 +237,18 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to (page_id, url, host, page_key, text, outside): the marked text or null, and the blocks
-    outside articles, each with whether it is left out anyway."""
+    """(page_id, url, html) to (page_id, url, host, page_key, text, outside): the marked text, or null if repetition is to
+    judge, and the blocks outside articles or hinted at, each with whether it is left out anyway or is text for sure."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host")).withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    kinds = pa.list_(pa.struct([("gone", pa.bool_()), ("text", pa.string())]))
+    kinds = pa.list_(pa.struct([("gone", pa.bool_()), ("sure", pa.bool_()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            found = [list(blocks(h)) for h in batch.column("html").to_pylist()]
-            outside = [[{"gone": k == GONE, "text": t} for k, t in one if k in (OPEN, GONE)] for one in found]
-            columns = [*(batch.column(c) for c in ("page_id", "url", "host", "page_key")), pa.array(map(marked_text, found), pa.string()), pa.array(outside, kinds)]
+            texts, outside = zip(*(_judged(list(blocks(h))) for h in batch.column("html").to_pylist()))
+            columns = [*(batch.column(c) for c in ("page_id", "url", "host", "page_key")), pa.array(texts, pa.string()), pa.array(outside, kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page_key", "text", "outside"])
 
-    return pages.mapInArrow(run, "page_id long, url string, host string, page_key long, text string, outside array<struct<gone: boolean, text: string>>")
+    return pages.mapInArrow(run, "page_id long, url string, host string, page_key long, text string, outside array<struct<gone: boolean, sure: boolean, text: string>>")
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
@@ -295,6 +331,9 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                     covered[s["start"] : s["start"] + len(mask)] |= mask
                 at, kept = 0, []
                 for block in outside:
+                    if block["sure"]:
+                        kept.append(block["text"])
+                        continue
                     words = block["text"].split(" ")
                     left = [w for w, c in zip(words, covered[at : at + len(words)]) if not c]
                     at += len(words)

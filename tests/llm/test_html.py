@@ -42,6 +42,9 @@ CASES = [
     ("<div class='sidebar'><article>all there is</article></div>", "all there is"),
     ("<article><p>a <span class='ad'>buy</span> b<p>c <span class=ad>buy <b>now</b></span></article>", "a b\n\nc"),
     ("<article><p>a <span class=ad>x<p>y</span> z<p>b</article>", "a\n\nz\n\nb"),
+    ("<article><section id='related'>Related work matters</section><p class='social'>Social life of ants<p>b</article>", "Related work matters\n\nSocial life of ants\n\nb"),
+    ("<article><div class='promotion'>Promotion to general</div><div id='notice'>N</div><div class='ad-slot'>a slot</div><aside class=related>r</aside></article>", "Promotion to general\n\nN\n\na slot"),
+    ("<article><p>a <span class='share'>b</span> c</article>", "a b c"),
     ("<article><ul id=related-comments><li>r</ul><div class='newsletter-signup'>n</div><p>a", "a"),
 ]
 
@@ -52,6 +55,17 @@ def test_structure(spark):
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
 
 
+def test_repetition_judges_what_classes_hint_at(spark):
+    """In an article a hinted block goes where it stands on several pages of the host, and stays where it does not."""
+    teaser = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    own = " ".join(f"own{i}" for i in range(20))
+    page = lambda hinted, body: f"<article><p>{body}</p><div class='newsletter-box'>{hinted}</div><section id=related>{own} {body}</section><p>end</p></article><footer>f</footer>"
+    rows = [(1, "http://a.org/1", page(teaser, "first"), None), (2, "http://a.org/2", page(teaser, "second"), None), (3, "http://b.org/", page(teaser, "third"), None)]
+    rows += [(4, "http://a.org/4", f"<article><p>{teaser}</p></article>", None)]  # not hinted at: stays, whatever repeats
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "first\n\nfirst\n\nend", 2: "second\n\nsecond\n\nend", 3: f"third\n\n{teaser}\n\n{own} third\n\nend", 4: teaser}
+
+
 def brute(pages):
     """Texts of unmarked pages: what no string of LEAST tokens covers that stands on two distinct pages of the host."""
     where, streams = {}, []
