@@ -177,7 +177,7 @@ def class_index_map(spark, d) -> DataFrame:
 @query(f"""{_SPLIT} SELECT src_path, split || '/' || class_name || '/' || class_name || '_' ||
   format('{{:05d}}', row_number() OVER (PARTITION BY split, class_name ORDER BY src_path)) || '.txt' AS processed_rel_path FROM manifest""")
 def processed_rel_path(spark, d) -> DataFrame:
-    return curate.with_processed_path(_manifest(spark, d)).select("src_path", "processed_rel_path")
+    return curate.with_processed_path(_manifest(spark, d), paths=documents_as_files(spark, d)).select("src_path", "processed_rel_path")
 
 
 @query(f'{_SPLIT} SELECT src_path, text, split FROM manifest JOIN documents ON CAST(doc_id AS VARCHAR) = src_path')
@@ -202,7 +202,8 @@ def manifest_read_back(spark, d) -> DataFrame:
 
     indexed = curate.with_class_index(_manifest(spark, d), curate.class_index(spark, CLASS_MAP))
     path = _shared(spark, "manifest")
-    sinks.write_sorted_csv(curate.with_processed_path(indexed).select(*schemas.MANIFEST.names), path, ["split", "class_name", "src_path"])
+    named = curate.with_processed_path(indexed, paths=documents_as_files(spark, d))
+    sinks.write_sorted_csv(named.select(*schemas.MANIFEST.names), path, ["split", "class_name", "src_path"])
     return read_manifest(spark, path)
 
 
@@ -573,3 +574,64 @@ def ensemble_bucketed(spark, d) -> DataFrame:
     stored = [scoring.store_member(member(spark, d, start).select("path", "true_idx", "probs"), _shared(spark, "member"), 8) for start in (1, 11)]
     out = scoring.ensemble_members(stored, [0.5, 0.5], False).join(stored[0].select("path", "true_idx"), "path")
     return _ensemble_rows(scoring.predictions(out, NAMES))
+
+
+# ---- sinks and sources of their own ---------------------------------------------------------------------------------
+
+@query(_ORACLE["manifest_read_back"])
+def single_csv_read_back(spark, d) -> DataFrame:
+    """The whole manifest as one named CSV file, joined from the tasks' parts in order, and read by its schema."""
+    from corvane import schemas
+    from corvane.single_csv import write_single_csv
+    from corvane.sources.files import read_manifest
+
+    indexed = curate.with_class_index(_manifest(spark, d), curate.class_index(spark, CLASS_MAP))
+    path = f"{_shared(spark, 'single')}/all.csv"
+    named = curate.with_processed_path(indexed, paths=documents_as_files(spark, d))
+    write_single_csv(named.select(*schemas.MANIFEST.names), path, ["split", "class_name", "src_path"])
+    return read_manifest(spark, path)
+
+
+@query(f"""WITH {HISTORY_SQL} SELECT epoch, tag, {_micro_sql("CAST(CAST(CASE tag WHEN 'accuracy' THEN accuracy WHEN 'train_loss' THEN train_loss ELSE val_loss END AS FLOAT) AS DOUBLE)")} AS value_micro
+FROM history CROSS JOIN (VALUES ('accuracy'), ('train_loss'), ('val_loss')) t(tag)""")
+def event_files_read_back(spark, d) -> DataFrame:
+    """The history as framed event files, read back with every checksum verified: numbers have 32 bits there."""
+    from corvane import events
+
+    folder = _shared(spark, "events")
+    events.write_events(training.scalar_log(history(spark, d)), folder).write.format("noop").mode("overwrite").save()
+    return events.read_events(spark, folder).select("epoch", "tag", micro(F.col("value")).alias("value_micro"))
+
+
+@query(_ORACLE["audit_summary"])
+def audit_observed(spark, d) -> DataFrame:
+    """The audit's counters, observed while its tables are written: no job counts."""
+    from pyspark.sql import Observation
+
+    routed, repeated, path = Observation(), Observation(), _shared(spark, "routed")
+    of = lambda status: F.count_if(F.col("status") == status).alias(status)
+    _routed_pages(spark, d).observe(routed, of(audit.VALID), of(audit.INVALID), of(audit.ERROR)).write.parquet(path)
+    audit.duplicate_files(audit.valid_files(spark.read.parquet(path))).observe(repeated, F.count("*").alias("n")).write.parquet(f"{path}-repeated")
+    row = (routed.get[audit.VALID], routed.get[audit.INVALID], routed.get[audit.ERROR], repeated.get["n"])
+    return spark.createDataFrame([row], "valid bigint, invalid bigint, errors bigint, duplicates bigint")
+
+
+@query("""SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS length FROM documents WHERE lang = 'en'""")
+def file_tree_read_back(spark, d) -> DataFrame:
+    """Every document as a file below its language; the English ones are read by a filter that prunes the other folders."""
+    from corvane.sources.tree import located, scan
+
+    root = _shared(spark, "tree")
+
+    def put(batches):
+        fs, base = located(root)
+        for batch in batches:
+            for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text"))):
+                fs.create_dir(f"{base}/{lang}/{doc % 50}", recursive=True)
+                with fs.open_output_stream(f"{base}/{lang}/{doc % 50}/{doc}.txt", compression=None) as out:
+                    out.write(text.encode())
+            yield batch.select(["doc_id"])
+
+    read(spark, d, "documents").select("doc_id", "lang", "text").mapInArrow(put, "doc_id long").write.format("noop").mode("overwrite").save()
+    rows = scan(spark, root, (".txt",)).where(F.col("raw_rel_path").startswith("en/"))
+    return rows.select(F.regexp_extract("raw_rel_path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"), "length")
