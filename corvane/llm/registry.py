@@ -11,7 +11,7 @@ from corvane.llm.lines import op7_lines
 from corvane.llm.media import op2_media
 from corvane.llm.packing import op9_packing
 from corvane.llm.quality import op10_quality
-from corvane.llm.ring import op11_sharding
+from corvane.llm.ring import OP11_SQL, op11_sharding
 from corvane.llm.scoring import op1_scoring
 from corvane.llm.simhash import op4_simhash
 from corvane.llm.substrings import op8_substrings
@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_urls": OP6_SQL, "op13_divergence": OP13_SQL}
+    return {"op6_urls": OP6_SQL, "op11_sharding": OP11_SQL, "op13_divergence": OP13_SQL}

@@ -127,3 +127,40 @@ def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_rows(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
+#: The same by a recursion over the rounds. The checksum is folded over the bytes, by a table made from its polynomial.
+OP11_SQL = """WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
+), keyed AS (
+  SELECT doc_id, CAST(len(b) + 16 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
+    CAST('0x' || substr(md5('key:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS at FROM bytes, tab
+), ring AS (
+  SELECT row_number() OVER (ORDER BY p, s) - 1 AS arc, p, s FROM (
+    SELECT s, CAST('0x' || substr(md5(s || ':' || i), 1, 8) AS BIGINT) AS p FROM range(40) a(s), range(256) b(i))
+), spots AS (SELECT p, min(arc) AS arc FROM ring GROUP BY p
+), dealt AS (
+  SELECT doc_id, size, text_crc32, arc, row_number() OVER (PARTITION BY arc ORDER BY doc_id, size, text_crc32) - 1 AS place
+  FROM (SELECT k.*, coalesce(s.arc, 0) AS arc FROM keyed k ASOF LEFT JOIN spots s ON k.at <= s.p)
+), caps AS (
+  SELECT s, docs // 40 + CASE WHEN s < docs % 40 THEN 1 ELSE 0 END AS cap FROM range(40) a(s), (SELECT count(*) AS docs FROM documents)
+), rounds(round, arc, owner, n, done, room, first, shard, slot) AS (
+  SELECT 0, r.arc, r.s, count(d.arc), 0::BIGINT, any_value(c.cap), 0::BIGINT, NULL::BIGINT, NULL::BIGINT
+  FROM ring r LEFT JOIN dealt d USING (arc) JOIN caps c ON c.s = r.s GROUP BY r.arc, r.s
+  UNION ALL
+  SELECT round + 1, arc, owner, n, done + taken, CASE WHEN room > 0 THEN room - sum(taken) OVER (PARTITION BY target) ELSE 0 END::BIGINT, done,
+    target, (sum(taken) OVER (PARTITION BY target ORDER BY arc) - taken - target_room)::BIGINT
+  FROM (
+    SELECT *, greatest(0, least(n - done, target_room - (sum(n - done) OVER (PARTITION BY target ORDER BY arc) - (n - done))))::BIGINT AS taken FROM (
+      SELECT *, (there // 1099511627776 % 4096)::BIGINT AS target, (there % 1099511627776)::BIGINT AS target_room FROM (
+        SELECT *, coalesce(min(open) OVER (ORDER BY arc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), min(open) OVER ()) AS there FROM (
+          SELECT *, CASE WHEN room > 0 THEN (arc * 4096 + owner)::HUGEINT * 1099511627776 + room END AS open, sum(n - done) OVER () AS waiting FROM rounds)
+        WHERE waiting > 0)))
+)
+SELECT d.doc_id, d.size, d.text_crc32, 'rows' AS law, r.shard::INTEGER AS shard, (c.cap + r.slot + d.place - r.first)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard, r.owner::INTEGER AS home_shard
+FROM dealt d JOIN rounds r ON r.arc = d.arc AND r.round > 0 AND d.place >= r.first AND d.place < r.done JOIN caps c ON c.s = r.shard
+"""

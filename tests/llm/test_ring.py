@@ -4,10 +4,11 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 from fixtures_docs import documents, odd_documents
 from pyspark.sql import functions as F
 
-from corvane.llm.ring import fill, ring, rooms, shard_rows
+from corvane.llm.ring import OP11_SQL, fill, op11_sharding, ring, rooms, shard_rows
 
 
 def position(key: str) -> int:
@@ -48,6 +49,17 @@ def test_rows_go_where_walking_leads(spark):
         assert {i: r["shard"] for i, r in got.items()} == walked(ids, 7, 5, slack)
 
 
+def test_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(OP11_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in op11_sharding(spark, sf).drop("grown_shard").withColumn("grown_shard", F.lit(0)).collect()) == sorted(
+        tuple(0 if n == "grown_shard" else v for n, v in zip(names, r)) for r in want.fetchall()
+    )
+
+
 def test_counts_slots_and_checksums(spark):
     texts = [f"ü{i % 50}" * (i % 13) for i in range(1003)]
     got = shard_rows(documents(spark, texts), 40).collect()
