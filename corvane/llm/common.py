@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step of a Python worker handles at once.
@@ -87,3 +88,27 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).head()[0] or 0
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows as one literal."""
+    fields = [part.split() for part in schema.split(", ")]
+    text = json.dumps([dict(zip((name for name, _ in fields), r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{','.join(f'{name}:{kind}' for name, kind in fields)}>>")))
+
+
+PART_ROWS = 1 << 20
+
+
+def numbered(rows: DataFrame, key: str, counts: dict[int, int], order: list[str], drawn: Column, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds _row, from 0 within each value of the integer column `key`, of which counts says how many rows it has (there
+    are so few values that the driver holds them). A value with more than part_rows rows is dealt into parts by `drawn`,
+    so no value fills a task; rows are in order within a part. `drawn` is stored with the rows, as it must not change."""
+    kind = rows.schema[key].dataType.simpleString()
+    parts = small_table(rows.sparkSession, [(k, n // part_rows + 1) for k, n in counts.items()], f"{key} {kind}, _parts int")
+    parted = rows.join(F.broadcast(parts), key).withColumn("_part", F.pmod(drawn, F.col("_parts")).cast("int"))
+    out = parted.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)).cast("long") - 1)
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.where("_parts > 1").groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    return out.join(sizes, [key, "_part"], "left").withColumn("_row", F.col("_row") + F.coalesce("_before", F.lit(0))).drop("_part", "_parts", "_before")

@@ -2,8 +2,9 @@
 
 Lengths lie between 1 and the capacity, so an instance is its count of pieces by length: at most `capacity` numbers,
 whatever the number of documents. The driver reduces and packs those counts; it never sees a piece. Pieces are ranked
-within their length on the executors (a length is dealt over SALTS groups, so that no length fills one task) and read
-their place from the plan, whose size is bounded by the capacity too: each of its steps uses a length up.
+within their length on the executors (a length with very many pieces is dealt into parts by numbers drawn for each
+piece, so that no length and no repeated row fills one task) and read their place from the plan, whose size is bounded
+by the capacity too: each of its steps uses a length up.
 
 Cases: a null text is empty and gives one piece, of the closing id alone. Repeated rows and rows that share an id are
 packed each. Null ids stay null. An empty table gives an empty one; other columns are ignored. Ties in length are
@@ -16,22 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, id_text, read, slices
+from corvane.llm.common import PART_ROWS, Scratch, id_text, numbered, read, slices
 from corvane.llm.tokens import Encoder
 
 CAPACITY = 2048
-SALTS = 256
 CLOSE = 0  # the id that ends each document
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, text) to (doc_id, piece int, start long, length long, ids binary: little-endian unsigned 32-bit)."""
+    """(doc_id, text) to (doc_id, piece int, start long, length long, ids binary: little-endian unsigned 32-bit, drawn int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder, chance = Encoder(tokenizer_path), np.random.default_rng()
         for batch in slices(batches):
             ids, cuts = encoder.flat([t or "" for t in batch.column("text").to_pylist()])
             ids = np.insert(ids, cuts[1:], CLOSE).astype("<u4")
@@ -42,10 +42,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             length = np.minimum(size[of] - start, capacity)
             ends = np.append(0, np.cumsum(length)).astype(np.int32) * 4
             data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+            drawn = pa.array(chance.integers(0, 1 << 30, len(of), dtype=np.int32))
+            columns = [batch.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data, drawn]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "drawn"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, drawn int")
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), from offset 0 on
@@ -142,24 +143,22 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in runs.items()}
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ...) that can be read twice; columns of
-    these names, _salt and _rank are replaced."""
-    pieces = pieces.drop("sequence_id", "offset", "_salt", "_rank")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    got = salted.groupBy("length", "_salt").count().toArrow()  # SALTS * capacity rows at most
-    each = np.zeros((capacity + 1, SALTS), np.int64)
-    each[tuple(got[c].to_numpy() for c in ("length", "_salt"))] = got["count"].to_numpy()
-    counts, before = each.sum(axis=1), np.cumsum(each, axis=1) - each
+def place(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ..., drawn) that can be read twice; columns
+    of these names are replaced, and `drawn` goes. Without it a hash of all columns stands for it."""
+    pieces = pieces.drop("sequence_id", "offset", "_row", "_part", "_parts", "_before", "_size")
+    drawn = F.col("drawn") if "drawn" in pieces.columns else F.xxhash64(*pieces.columns)
+    by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[list(by_length)] = list(by_length.values())
     runs = plan(counts, capacity)
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)).cast("long"))
-    kept = pieces.columns
+    ranked = numbered(pieces, "length", by_length, order, drawn, part_rows).drop("drawn")
+    kept = [c for c in pieces.columns if c != "drawn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy() for c in ("length", "_salt", "_rank"))
-            rank = rank - 1 + before[length, salt]
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_row"))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for size in np.unique(length):
                 mine, table = np.flatnonzero(length == size), runs[int(size)]
@@ -168,7 +167,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[mine], offset[mine] = base + nth // each, at + nth % each * size
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    names = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
     return ranked.mapInArrow(run, f"{names}, sequence_id long, offset long")
 
 

@@ -10,7 +10,7 @@ these counts alone: shards * POINTS numbers, whatever the number of rows. In a r
 point with room, and each shard takes its rows by arc until it is full; those that belong there came first. So as few
 rows overflow as can, and each round fills a shard or ends.
 
-Rows are numbered within their arc by windows over at most about ARC_ROWS rows: a larger arc, as of one id that holds
+Rows are numbered within their arc by windows over at most about PART_ROWS rows: a larger arc, as of one id that holds
 a third of all rows, is dealt into parts by a number drawn for each row and stored. The text is read once, for its size
 and checksum; only ids and numbers are shuffled. All of it is DataFrame functions.
 
@@ -22,16 +22,14 @@ leave shards empty. An empty table gives an empty one; other columns are ignored
 from __future__ import annotations
 
 import hashlib
-import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, read
+from corvane.llm.common import PART_ROWS, Scratch, numbered, read, small_table
 
 POINTS = 256
 CELLS = 1 << 12  # of the ring, by which a key finds its point without comparing it to all points
-ARC_ROWS = 1 << 20
 LAW = "rows"
 
 
@@ -67,13 +65,6 @@ def fill(counts: dict[int, int], owners: list[int], room: list[int]) -> list[tup
     return runs
 
 
-def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of a few rows as one literal."""
-    names = [part.split()[0] for part in schema.split(",")]
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(p.strip().replace(' ', ':') for p in schema.split(','))}>>")))
-
-
 def on_ring(keys: DataFrame, spots: list[tuple[int, int]]) -> DataFrame:
     """Adds `arc`, the number of the first point at or after the position `at` (long, 0 to 2**32 - 1), or 0 beyond the last.
 
@@ -85,13 +76,13 @@ def on_ring(keys: DataFrame, spots: list[tuple[int, int]]) -> DataFrame:
     for c in range(CELLS):
         cells.append((c, first, inside[c]))
         first += len(inside[c])
-    cells = table(keys.sparkSession, cells, "_cell int, _first int, _inside array<bigint>")
+    cells = small_table(keys.sparkSession, cells, "_cell int, _first int, _inside array<bigint>")
     passed = F.size(F.filter("_inside", lambda p: p < F.col("at")))
     found = keys.withColumn("_cell", F.floor(F.col("at") / F.lit(width)).cast("int")).join(F.broadcast(cells), "_cell")  # CELLS rows
     return found.withColumn("arc", F.pmod(F.col("_first") + passed, F.lit(len(spots))).cast("int")).drop("_cell", "_first", "_inside")
 
 
-def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float = 0.0, arc_rows: int = ARC_ROWS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float = 0.0, arc_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, text) to (doc_id, size, text_crc32, shard, slot, home_shard).
 
     home_shard: whose point the key belongs to; another shard holds the row if that one was full."""
@@ -104,21 +95,14 @@ def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float
     keys = Scratch(spark).table(on_ring(keys, spots).drop("at").withColumn("drawn", F.floor(F.rand() * (1 << 30)).cast("int")))
     counts = {r["arc"]: r["n"] for r in keys.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # shards * points rows at most
     runs = fill(counts, owners, rooms(sum(counts.values()), shards, slack))
-    large = table(spark, [(arc, n, n // arc_rows + 1) for arc, n in counts.items()], "arc int, _n bigint, _parts int")
-    parted = keys.join(F.broadcast(large), "arc").withColumn("_part", F.pmod("drawn", "_parts"))
-    in_part = Window.partitionBy("arc", "_part")
-    numbered = parted.withColumn("_row", F.row_number().over(in_part.orderBy("doc_id", "size", "text_crc32", "drawn")).cast("long") - 1)
-    sizes = parted.where("_parts > 1").groupBy("arc", "_part").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy("arc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-    numbered = numbered.join(sizes, ["arc", "_part"], "left").withColumn("_row", F.col("_row") + F.coalesce("_before", F.lit(0)))
+    ranked = numbered(keys, "arc", counts, ["doc_id", "size", "text_crc32", "drawn"], F.col("drawn"), arc_rows)
     # An arc is cut in as many runs as shards share it: each row finds its own among them.
     by_arc: dict[int, list] = {}
     for arc, first, rows, shard, slot in runs:
         by_arc.setdefault(arc, []).append({"first": first, "shard": shard, "slot": slot})
-    ways = table(spark, [(arc, owners[arc], r) for arc, r in by_arc.items()], "arc int, home_shard int, _runs array<struct<first:bigint,shard:int,slot:bigint>>")
+    ways = small_table(spark, [(arc, owners[arc], r) for arc, r in by_arc.items()], "arc int, home_shard int, _runs array<struct<first:bigint,shard:int,slot:bigint>>")
     mine = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_row")), -1)
-    placed = numbered.join(F.broadcast(ways), "arc").withColumn("_run", mine)
+    placed = ranked.join(F.broadcast(ways), "arc").withColumn("_run", mine)
     return placed.select(
         "doc_id", "size", "text_crc32", F.col("_run.shard").alias("shard"), (F.col("_run.slot") + F.col("_row") - F.col("_run.first")).alias("slot"), "home_shard"
     )

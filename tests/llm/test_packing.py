@@ -7,6 +7,7 @@ from fixtures_docs import ODD, documents, odd_documents
 from tokenizers import Tokenizer
 
 from corvane.llm import packing, tokens
+from corvane.llm.common import Scratch
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -142,6 +143,22 @@ def test_pieces_of_a_long_text_and_a_null_id(spark):
     assert sorted((r.doc_id or -1, r.piece, r.sequence_id, r.offset) for r in packing.place(clash, 50).collect()) == want
 
 
+def test_a_length_of_many_equal_pieces_is_numbered_in_parts(spark):
+    """Repeated rows and null ids among them."""
+    rows = [(None if i % 3 else 5, 0, 0, 7 if i % 4 else 20, i % 1000) for i in range(2000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, drawn int").repartition(3)
+    pieces = Scratch(spark).table(pieces)
+    for part_rows in (1 << 20, 40):
+        used = {}
+        for r in packing.place(pieces, 50, part_rows).collect():
+            used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert sum(map(len, used.values())) == 2000 and sorted(used) == list(range(len(used)))
+        for slots in used.values():
+            ends = np.cumsum([n for _, n in sorted(slots)])
+            assert [at for at, _ in sorted(slots)] == [0, *ends[:-1]] and ends[-1] <= 50
+        assert "drawn" not in packing.place(pieces, 50).columns
+
+
 def test_query(spark, tmp_path):
     odd_documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     rows = packing.op9_packing(spark, str(tmp_path)).collect()
