@@ -635,3 +635,22 @@ def file_tree_read_back(spark, d) -> DataFrame:
     read(spark, d, "documents").select("doc_id", "lang", "text").mapInArrow(put, "doc_id long").write.format("noop").mode("overwrite").save()
     rows = scan(spark, root, (".txt",)).where(F.col("raw_rel_path").startswith("en/"))
     return rows.select(F.regexp_extract("raw_rel_path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"), "length")
+
+
+@query("""WITH n AS (SELECT doc_id, doc_id % 4 AS kind, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, CASE kind WHEN 1 THEN 'byte 33: the checksum of chunk IDAT is wrong'
+  WHEN 2 THEN CASE WHEN n < 8 THEN 'byte 33: the file ends within a chunk' ELSE 'byte 33: chunk IDAT goes beyond the end' END
+  WHEN 3 THEN 'byte ' || (57 + n) || ': 2 bytes after the end' END AS fault FROM n""")
+def image_integrity(spark, d) -> DataFrame:
+    """Every document's text in a PNG's chunks: whole, with a wrong checksum, cut, and with bytes after the end."""
+    from corvane.operators.integrity import image_faults
+
+    four = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    raw, kind = F.col("text").cast("binary"), F.col("doc_id") % 4
+    head = F.unhex(F.lit("89504E470D0A1A0A" "0000000D49484452" "0000000100000001" "0802000000" "907753DE"))
+    body = F.concat(F.lit(b"IDAT"), raw)
+    crc = F.crc32(body).bitwiseXOR((kind == 1).cast("long"))
+    whole = F.concat(head, four(F.octet_length(raw)), body, four(crc), F.unhex(F.lit("0000000049454E44AE426082")))
+    length = F.octet_length(whole)
+    content = F.when(kind == 2, F.substr(whole, F.lit(1), length - 20)).when(kind == 3, F.concat(whole, F.lit(b"ab"))).otherwise(whole)
+    return read(spark, d, "documents").select("doc_id", content.alias("content")).select("doc_id", image_faults(F.col("content")).alias("fault"))

@@ -267,13 +267,6 @@ def test_numbers_in_order_whatever_the_paths_begin_with(spark):
     assert all(r.processed_rel_path == f"train/x/x_{int(r.src_path[-9:-4]) + 1:05d}.jpg" for r in got)
 
 
-def test_small_csv_guards(spark, tmp_path):
-    sinks.write_small_csv(spark.createDataFrame([], "a int, b string"), tmp_path / "e.csv")
-    assert (tmp_path / "e.csv").read_text(encoding="utf-8-sig").strip() == "a,b"
-    with pytest.raises(ValueError):
-        sinks.write_small_csv(spark.range(5), tmp_path / "f.csv", limit=4)
-
-
 def test_stream_keeps_first_of_content(spark, tmp_path):
     from corvane.streaming import audit_stream
 
