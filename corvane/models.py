@@ -89,15 +89,16 @@ def scorer(spark: SparkSession, spec: dict | str, folder: str = ".", args=()) ->
     return Scorer(factory, args, tuple(named.items()), shipped)
 
 
-_LOADED: dict[Scorer, Model] = {}  # of this worker; workers outlive their tasks
+_LOADED: dict[str, Model] = {}  # of this worker; workers outlive their tasks
 
 
 def loaded(one: Scorer) -> Model:
     if one.made_by:
         return one.load()
-    if one not in _LOADED:
-        _LOADED[one] = one.load()
-    return _LOADED[one]
+    key = repr((one.factory, one.args, one.named, one.artifacts))  # arguments may be lists
+    if key not in _LOADED:
+        _LOADED[key] = one.load()
+    return _LOADED[key]
 
 
 def score_all(rows: DataFrame, scorers: list[Scorer], batch_size: int = 64, drop: tuple[str, ...] = ()) -> DataFrame:

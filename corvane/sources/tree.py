@@ -178,7 +178,8 @@ class FileTree(DataSource):
 
 
 def scan(spark: SparkSession, root: str, suffixes=(), content: bool = True, parts: int = 64) -> DataFrame:
-    """The files below root, or root itself if it is a file."""
+    """The files below root, or root itself if it is a file. Turns on the session's pushing of filters to Python sources,
+    which is off by default."""
     spark.dataSource.register(FileTree)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     options = {"root": str(root), "suffixes": ",".join(suffixes), "content": str(content).lower(), "parts": str(parts)}

@@ -240,7 +240,7 @@ def test_a_trained_run_is_evaluated(spark, tmp_path):
     assert "'accuracy': 1.0" in run_cli("evaluate", "--run-dir", run) and len(predictions(run / "predictions/test_predictions.csv")) == 12
     logged = {(r.epoch, r.tag): r.value for r in events.read_events(spark, f"{run}/logs").collect()}
     assert logged == {(r.epoch, r.tag): pytest.approx(r.value, rel=1e-6) for r in training.scalar_log(history).collect()}
-    assert not (run / "work").exists() and sorted(p.name for p in (run / "checkpoints").iterdir()) == ["best.npz", "last.npz"]
+    assert not (run / "work").exists() and sorted(p.name for p in (run / "checkpoints").glob("[!.]*")) == ["best.npz", "last.npz"]
 
 
 def test_scorers_are_named_or_refused(spark, tmp_path):
@@ -251,6 +251,9 @@ def test_scorers_are_named_or_refused(spark, tmp_path):
     two = models.scorer(spark, {"factory": "m.py:make"}, str(tmp_path / "other"))
     rows = models.score_all(spark.range(5), [one, two, models.scorer(spark, {"factory": "m.py:make"}, str(tmp_path))], batch_size=2).collect()
     assert [r.logits for r in rows] == [[[1.0], [2.0], [1.0]]] * 5  # equal names, unequal code
+    (tmp_path / "lists.py").write_text("def make(logits): return lambda frame: [logits] * len(frame)")
+    listed = models.scorer(spark, {"factory": "lists.py:make", "args": {"logits": [3.0, 4.0]}}, str(tmp_path))
+    assert [r.logits for r in models.score_all(spark.range(2), [listed]).collect()] == [[[3.0, 4.0]]] * 2
     with pytest.raises(ValueError, match="neither"):
         models.scorer(spark, "nobody", str(tmp_path))
     with pytest.raises(PySparkException, match="absent"):
