@@ -97,18 +97,28 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{','.join(f'{name}:{kind}' for name, kind in fields)}>>")))
 
 
-PART_ROWS = 1 << 20
+PART_ROWS, PARTS = 512, 100_000
 
 
-def numbered(rows: DataFrame, key: str, counts: dict[int, int], order: list[str], drawn: Column, part_rows: int = PART_ROWS) -> DataFrame:
+def numbered(rows: DataFrame, key: str, counts: dict[int, int], order: list[str], spread: Column, drawn: Column | None = None, part_rows: int | None = None) -> DataFrame:
     """Adds _row, from 0 within each value of the integer column `key`, of which counts says how many rows it has (there
-    are so few values that the driver holds them). A value with more than part_rows rows is dealt into parts by `drawn`,
-    so no value fills a task; rows are in order within a part. `drawn` is stored with the rows, as it must not change."""
+    are so few values that the driver holds them). A value with more than part_rows rows is dealt into parts by `spread`,
+    so no value fills a task; a part that holds far more, as of many equal rows, is dealt once more by `drawn`. Rows are in
+    order within a part. By default parts are of PART_ROWS rows, and larger where there would be more than about PARTS of
+    them. A drawn number is stored with its row, as it must not change."""
+    part_rows = part_rows or max(PART_ROWS, sum(counts.values()) // PARTS)
     kind = rows.schema[key].dataType.simpleString()
     parts = small_table(rows.sparkSession, [(k, n // part_rows + 1) for k, n in counts.items()], f"{key} {kind}, _parts int")
-    parted = rows.join(F.broadcast(parts), key).withColumn("_part", F.pmod(drawn, F.col("_parts")).cast("int"))
-    out = parted.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)).cast("long") - 1)
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parted.where("_parts > 1").groupBy(key, "_part").agg(F.count("*").alias("_size"))
+    parted = rows.join(F.broadcast(parts), key).withColumn("_part", F.pmod(spread, F.col("_parts")).cast("int"))
+    if drawn is None:
+        parted = parted.withColumn("_sub", F.lit(0))
+    else:
+        held = parted.where("_parts > 1").groupBy(key, "_part").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * part_rows)
+        again = F.pmod(drawn, F.floor(F.col("_n") / part_rows) + 1).cast("int")
+        parted = parted.join(held, [key, "_part"], "left").withColumn("_sub", F.coalesce(again, F.lit(0))).drop("_n")
+    place = [key, "_part", "_sub"]
+    out = parted.withColumn("_row", F.row_number().over(Window.partitionBy(*place).orderBy(*order)).cast("long") - 1)
+    earlier = Window.partitionBy(key).orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.where("_parts > 1").groupBy(*place).agg(F.count("*").alias("_size"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-    return out.join(sizes, [key, "_part"], "left").withColumn("_row", F.col("_row") + F.coalesce("_before", F.lit(0))).drop("_part", "_parts", "_before")
+    return out.join(sizes, place, "left").withColumn("_row", F.col("_row") + F.coalesce("_before", F.lit(0))).drop("_part", "_sub", "_parts", "_before")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import PART_ROWS, Scratch, id_text, numbered, read, slices
+from corvane.llm.common import Scratch, id_text, numbered, read, slices
 from corvane.llm.tokens import Encoder
 
 CAPACITY = 2048
@@ -143,17 +143,17 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in runs.items()}
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces (doc_id, piece, length, ..., drawn) that can be read twice; columns
     of these names are replaced, and `drawn` goes. Without it a hash of all columns stands for it."""
-    pieces = pieces.drop("sequence_id", "offset", "_row", "_part", "_parts", "_before", "_size")
+    pieces = pieces.drop("sequence_id", "offset", "_row", "_part", "_sub", "_parts", "_before", "_size")
     drawn = F.col("drawn") if "drawn" in pieces.columns else F.xxhash64(*pieces.columns)
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     counts = np.zeros(capacity + 1, np.int64)
     counts[list(by_length)] = list(by_length.values())
     runs = plan(counts, capacity)
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    ranked = numbered(pieces, "length", by_length, order, drawn, part_rows).drop("drawn")
+    ranked = numbered(pieces, "length", by_length, order, drawn, part_rows=part_rows).drop("drawn")
     kept = [c for c in pieces.columns if c != "drawn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

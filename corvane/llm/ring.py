@@ -10,9 +10,10 @@ these counts alone: shards * POINTS numbers, whatever the number of rows. In a r
 point with room, and each shard takes its rows by arc until it is full; those that belong there came first. So as few
 rows overflow as can, and each round fills a shard or ends.
 
-Rows are numbered within their arc by windows over at most about PART_ROWS rows: a larger arc, as of one id that holds
-a third of all rows, is dealt into parts by a number drawn for each row and stored. The text is read once, for its size
-and checksum; only ids and numbers are shuffled. All of it is DataFrame functions.
+Rows are numbered within their arc by windows over parts of it, dealt by a hash of the row, so two runs place it alike;
+only a part that many equal rows overfill, as of one id that holds a third of all rows, is dealt by numbers drawn and
+stored. The text is read once, for its size and checksum; only ids and numbers are shuffled. All of it is DataFrame
+functions.
 
 Cases: a null text counts as empty: size 16, checksum 0. Null ids are one key; rows that share an id and repeated rows
 are each dealt, and only overflow parts them. Equal texts under different ids are different keys. Fewer rows than shards
@@ -26,7 +27,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import PART_ROWS, Scratch, numbered, read, small_table
+from corvane.llm.common import Scratch, numbered, read, small_table
 
 POINTS = 256
 CELLS = 1 << 12  # of the ring, by which a key finds its point without comparing it to all points
@@ -82,7 +83,7 @@ def on_ring(keys: DataFrame, spots: list[tuple[int, int]]) -> DataFrame:
     return found.withColumn("arc", F.pmod(F.col("_first") + passed, F.lit(len(spots))).cast("int")).drop("_cell", "_first", "_inside")
 
 
-def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float = 0.0, arc_rows: int = PART_ROWS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float = 0.0, arc_rows: int | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, size, text_crc32, shard, slot, home_shard).
 
     home_shard: whose point the key belongs to; another shard holds the row if that one was full."""
@@ -91,11 +92,11 @@ def shard_rows(docs: DataFrame, shards: int, points: int = POINTS, slack: float
     spots = ring(shards, points)
     owners = [s for _, s in spots]
     keys = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), at.alias("at"))
-    # Drawn numbers part large arcs; written once, they never change.
+    # Drawn numbers part equal rows; written once, they never change.
     keys = Scratch(spark).table(on_ring(keys, spots).drop("at").withColumn("drawn", F.floor(F.rand() * (1 << 30)).cast("int")))
     counts = {r["arc"]: r["n"] for r in keys.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # shards * points rows at most
     runs = fill(counts, owners, rooms(sum(counts.values()), shards, slack))
-    ranked = numbered(keys, "arc", counts, ["doc_id", "size", "text_crc32", "drawn"], F.col("drawn"), arc_rows)
+    ranked = numbered(keys, "arc", counts, ["doc_id", "size", "text_crc32", "drawn"], F.xxhash64("doc_id", "size", "text_crc32"), F.col("drawn"), arc_rows)
     # An arc is cut in as many runs as shards share it: each row finds its own among them.
     by_arc: dict[int, list] = {}
     for arc, first, rows, shard, slot in runs:

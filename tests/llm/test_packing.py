@@ -148,7 +148,7 @@ def test_a_length_of_many_equal_pieces_is_numbered_in_parts(spark):
     rows = [(None if i % 3 else 5, 0, 0, 7 if i % 4 else 20, i % 1000) for i in range(2000)]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, drawn int").repartition(3)
     pieces = Scratch(spark).table(pieces)
-    for part_rows in (1 << 20, 40):
+    for part_rows in (1 << 20, 40, None):
         used = {}
         for r in packing.place(pieces, 50, part_rows).collect():
             used.setdefault(r.sequence_id, []).append((r.offset, r.length))

@@ -77,6 +77,12 @@ def test_one_id_of_a_third_of_the_rows_is_numbered_in_parts(spark):
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(8) for k in range(375)]
 
 
+def test_two_runs_place_rows_alike(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    one, two = (sorted(map(tuple, shard_rows(docs.repartition(n), 8, points=4, arc_rows=20).collect())) for n in (3, 5))
+    assert one == two
+
+
 def test_growth_moves_little():
     """Against 1/41 of the rows, which no way of growing can undercut."""
     ids = range(20_000)
