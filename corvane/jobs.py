@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import events, fitting, models, sinks
-from corvane.config import EnsembleConfig, TrainConfig, load_yaml
+from corvane.config import EnsembleConfig, TrainConfig
 from corvane.functions.vectors import softmax
 from corvane.operators import report, scoring, training
 from corvane.single_csv import write_single_csv
