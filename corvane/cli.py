@@ -20,7 +20,7 @@ INTEGRITY = ("structure", "magic")
 
 def _routed(spark: SparkSession, cfg: DatasetConfig, strict: bool, check: str | None) -> DataFrame:
     """Hashed and routed files; only those of the wanted suffixes are opened. check: how unreadable ones are told."""
-    rows = audit.with_hash(files.scan_tree(spark, cfg.raw_root, cfg.image_extensions, hidden=strict))
+    rows = files.scan_tree(spark, cfg.raw_root, cfg.image_extensions, content=check is not None, hidden=strict, sha256=True)
     if check == "structure":
         rows = rows.withColumn("_fault", integrity.image_faults(F.col("content")))
         return audit.routed(rows, cfg.class_map, readable=F.col("_fault").isNull(), error=F.col("_fault")).drop("_fault")

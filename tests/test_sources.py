@@ -1,9 +1,11 @@
 """The file tree source, the single-file sink and what is published whole."""
 
 import csv
+import hashlib
 import multiprocessing
 import os
 import time
+import tracemalloc
 from pathlib import Path
 
 import pytest
@@ -90,6 +92,50 @@ def test_a_folder_of_many_files_is_shared_out(spark, tmp_path, monkeypatch):
     assert sorted(n for p in parts for n, _ in found._files(p, *source.located(str(tmp_path)))) == sorted(names)
 
 
+def test_large_files_are_hashed_in_pieces(tmp_path):
+    names = {"a/large": 96 << 20, "b": source.PIECE, "c": source.PIECE + 1, "empty": 0}
+    for n, size in names.items():
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        with (tmp_path / n).open("wb") as f:
+            f.write(n.encode()[:size])
+            f.truncate(size)
+    found, _ = reader(tmp_path, content="false", sha256="true")
+    tracemalloc.start()
+    got = [r for p in found.partitions() for b in found.read(p) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in names}
+    assert {r["raw_rel_path"]: r["sha256"] for r in got} == want and all(set(r) == {"src_path", "raw_rel_path", "length", "sha256"} for r in got)
+    assert peak < 4 * source.PIECE, peak
+    small, _ = reader(tmp_path, sha256="true", max_bytes=str(source.PIECE))
+    got = {r["raw_rel_path"]: r for p in small.partitions() for b in small.read(p) for r in b.to_pylist()}
+    assert {n: r["sha256"] for n, r in got.items()} == want
+    assert {n for n, r in got.items() if r["content"] is None} == {"a/large", "c"}
+
+
+def test_a_folder_of_large_files_is_shared_out(tmp_path):
+    for i in range(6):
+        with (tmp_path / f"{i}").open("wb") as f:
+            f.truncate((300 if i == 4 else 50) << 20)
+    shared = lambda **o: [[n for n, _ in found._files(p, *source.located(str(tmp_path)))] for found, _ in [reader(tmp_path, **o)] for p in found.partitions()]
+    parts = shared(content="false", sha256="true")
+    assert len(parts) == 5 and sorted(n for p in parts for n in p) == [str(i) for i in range(6)]
+    assert shared(content="false") == [["4", "0", "1", "2", "3", "5"]]
+
+
+def test_a_file_above_two_gigabytes_is_hashed(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    size, said = (1 << 31) + 5, hashlib.sha256()
+    with (tmp_path / "t.parquet").open("wb") as f:  # sparse
+        f.truncate(size)
+    for _ in range(32):
+        said.update(bytes(1 << 26))
+    said.update(bytes(5))
+    (row,) = entry.queries()["binary_file_hash"](spark, str(tmp_path)).collect()
+    assert tuple(row) == ("t.parquet", size, said.hexdigest())
+
+
 def test_evaluation_opens_only_the_files_of_its_split(spark, tmp_path):
     """Files of the other splits are gone: nothing asks for them."""
     tree(tmp_path / "raw")
